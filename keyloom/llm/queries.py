@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from keyloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from keyloom.llm.mixing import OP3_SQL, op3_mix_sources
 from keyloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 
 QUERIES = {
+    "op3_mix_sources": op3_mix_sources,
     "op4_quality_rules": op4_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op3_mix_sources": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
