@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from keyloom.llm.bpe import op7_bpe
 from keyloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from keyloom.llm.mixing import OP3_SQL, op3_mix_sources
 from keyloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from keyloom.llm.secrets import op10_secret_scan
 
 QUERIES = {
+    "op7_bpe": op7_bpe,
     "op10_secret_scan": op10_secret_scan,
     "op3_mix_sources": op3_mix_sources,
     "op4_quality_rules": op4_quality_rules,
