@@ -5,10 +5,12 @@ from __future__ import annotations
 from keyloom.llm.bpe import op7_bpe
 from keyloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from keyloom.llm.mixing import OP3_SQL, op3_mix_sources
+from keyloom.llm.ngram_join import OP2_SQL, op2_ngram_join
 from keyloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from keyloom.llm.secrets import op10_secret_scan
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op7_bpe": op7_bpe,
     "op10_secret_scan": op10_secret_scan,
     "op3_mix_sources": op3_mix_sources,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_ngram_join": OP2_SQL,
     "op3_mix_sources": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
     "op8_exact_dedup": OP8_SQL,
