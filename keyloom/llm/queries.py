@@ -8,8 +8,10 @@ from keyloom.llm.mixing import OP3_SQL, op3_mix_sources
 from keyloom.llm.ngram_join import OP2_SQL, op2_ngram_join
 from keyloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from keyloom.llm.secrets import op10_secret_scan
+from keyloom.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op5_warc": op5_warc,
     "op2_ngram_join": op2_ngram_join,
     "op7_bpe": op7_bpe,
     "op10_secret_scan": op10_secret_scan,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_warc": OP5_SQL,
     "op2_ngram_join": OP2_SQL,
     "op3_mix_sources": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
