@@ -44,8 +44,9 @@ _LETTER, _NUMBER = rf"[\p{{L}}--[{UNKNOWN}]]", rf"[\p{{N}}--[{UNKNOWN}]]"
 #: Byte-level BPE's own splitting rule: contractions, then letters, numbers or other characters after at most one space.
 SPLIT = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTER}+| ?{_NUMBER}+| ?(?:[^\s\p{{L}}\p{{N}}]|[{UNKNOWN}])+|\s+(?!\S)|\s+")
 DOUBLE = re.compile(r"\s\s")
+END = frozenset(".,;:!?")
 #: Words of so many texts are remembered at most; encoding is the same with or without.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Longer texts are split a piece at a time, and output batches are closed at about this size.
 PIECE, BATCH_BYTES = 1_000_000, 16_000_000
 
@@ -120,37 +121,49 @@ class Automaton:
                 token, when = self.left[token], added
 
     def path(self, word: bytes) -> list[int]:
-        """The one accepted path that spells word: for every place the one token that can end there."""
+        """The one accepted path that spells word.
+
+        Arcs are tried longest first. At most one token can end an accepted path at any place, so that a place from which
+        there is no way on is never tried again.
+        """
         if word in self.arcs:  # the first state has an arc for every token, and no other path spells it
             return [self.arcs[word]]
         n, size, table_, below, ends = len(word), self.size, self.table, self.below, self.ends
-        last, origin = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            state, node = last[i], 0
-            if i and state < 0:
-                continue
-            for j in range(i, n):
+        i, state, tokens, begun, others, dead = 0, -1, [], [], [], set()
+        while True:
+            choices, node, j = [], 0, i
+            while j < n:
                 node = below[node].get(word[j])
                 if node is None:
                     break
-                token = ends[node]
-                if token < 0 or last[j + 1] >= 0:
-                    continue
-                if i:
-                    key = state * size + token
-                    ok = table_.get(key)
-                    if ok is None:
-                        ok = table_[key] = self.has_arc(state, token, 1 << 60)
-                    if not ok:
+                j += 1
+                if ends[node] >= 0:
+                    choices.append((ends[node], j))
+            while True:
+                if choices:
+                    token, j = choices.pop()
+                    if j in dead:
                         continue
-                last[j + 1], origin[j + 1] = token, i
-        out, i = [], n
-        while i:
-            if last[i] < 0:
-                raise ValueError("the vocabulary cannot spell this word")
-            out.append(last[i])
-            i = origin[i]
-        return out[::-1]
+                    if state >= 0:
+                        key = state * size + token
+                        ok = table_.get(key)
+                        if ok is None:
+                            ok = table_[key] = self.has_arc(state, token, 1 << 60)
+                        if not ok:
+                            continue
+                    tokens.append(token)
+                    if j == n:
+                        return tokens
+                    begun.append(i)
+                    others.append(choices)
+                    i, state = j, token
+                    break
+                dead.add(i)
+                if not tokens:
+                    raise ValueError("the vocabulary cannot spell this word")
+                tokens.pop()
+                i, choices = begun.pop(), others.pop()
+                state = tokens[-1] if tokens else -1
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs, put together; what is no UTF-8 becomes U+FFFD."""
@@ -180,13 +193,21 @@ class Encoder:
     def __init__(self, automaton: Automaton) -> None:
         self.automaton = automaton
         self.words = Words(self._word)
-        self.after_space = Words(lambda unit: self._split(" " + unit))
+        self.after_space = Words(self._after_space)
 
     def _word(self, word: str) -> bytes:
         if len(self.automaton.table) >= 10 * REMEMBERED:
             self.automaton.table.clear()
         return b"".join([i.to_bytes(4, "little") for i in self.automaton.path(word.encode("utf-8", "replace"))])
 
+    def _after_space(self, unit: str) -> bytes:
+        """Of a space and what follows it up to the next white space."""
+        if unit.isalpha():
+            return self._word(" " + unit)
+        if unit[-1:] in END and unit[:-1].isalpha():
+            return self.words[" " + unit[:-1]] + self.words[unit[-1]]
+        return self._split(" " + unit)
+
     def _split(self, text: str) -> bytes:
         if len(text) <= PIECE:
             return b"".join(map(self.words.__getitem__, SPLIT.findall(text)))
