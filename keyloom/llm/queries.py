@@ -8,10 +8,12 @@ from keyloom.llm.html_text import op1_html_text
 from keyloom.llm.mixing import OP3_SQL, op3_mix_sources
 from keyloom.llm.ngram_join import OP2_SQL, op2_ngram_join
 from keyloom.llm.quality_rules import OP4_SQL, op4_quality_rules
+from keyloom.llm.quality_cnn import op6_quality_cnn
 from keyloom.llm.secrets import op10_secret_scan
 from keyloom.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op6_quality_cnn": op6_quality_cnn,
     "op1_html_text": op1_html_text,
     "op5_warc": op5_warc,
     "op2_ngram_join": op2_ngram_join,
