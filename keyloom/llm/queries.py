@@ -5,6 +5,7 @@ from __future__ import annotations
 from keyloom.llm.bpe import op7_bpe
 from keyloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from keyloom.llm.html_text import op1_html_text
+from keyloom.llm.licenses import op9_license_scan
 from keyloom.llm.mixing import OP3_SQL, op3_mix_sources
 from keyloom.llm.ngram_join import OP2_SQL, op2_ngram_join
 from keyloom.llm.quality_rules import OP4_SQL, op4_quality_rules
@@ -13,6 +14,7 @@ from keyloom.llm.secrets import op10_secret_scan
 from keyloom.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op9_license_scan": op9_license_scan,
     "op6_quality_cnn": op6_quality_cnn,
     "op1_html_text": op1_html_text,
     "op5_warc": op5_warc,
