@@ -2,12 +2,13 @@
 
 Documents with equal shingle sets form one class, a row of the matrix. The columns are ordered from rare to frequent. Two
 sets of Jaccard similarity 3/4 share a column among the first n - ceil(3 n / 4) + 1 of each, so that only these
-entries are multiplied: they are dealt out in blocks of columns; each block multiplies its part, discards pairs that
-their sizes and places rule out, and the overlaps are added up over the blocks. What is left is compared in full.
+entries are multiplied: they are dealt out in blocks of columns, each block multiplies its part, and the overlaps are
+added up over the blocks. Pairs whose overlap so far, with all that may follow, stays below what their sizes ask for are
+discarded. A column that many classes share would give all pairs among them; it only says that they may belong together.
 
-A column that many classes share would give all pairs among them. Such columns are kept as runs: each round compares a
-few pivots of a run with its other members, and joins what links. Once rounds find nothing new, members of a run that
-are still apart are compared pair by pair, so that no link between components is lost.
+What may belong together is compared in full, each set being sent to one task once: there, the sets' own product gives
+the links from one set to all that are not reached yet. Where more than a task should hold may belong together, rounds
+compare a few pivots of each frequent column with the others, and in the end all pairs that are still apart.
 """
 
 from __future__ import annotations
@@ -27,12 +28,16 @@ from keyloom.llm.components import components
 WORDS = 5
 #: Linked if LINK[1] * intersection >= LINK[0] * union.
 LINK = (3, 4)
-#: Runs of up to so many classes are multiplied out; longer ones go by rounds with so many pivots.
-SMALL_RUN, PIVOTS, ROUNDS = 6, 3, 6
-#: Columns seen so often by a task's windows count as frequent, and at most so many are told to the tasks (16 MB). They only
-#: set the order of the columns: with more or fewer, the result is the same.
-FREQUENT, MOST_FREQUENT = 16, 1_000_000
+#: Columns with up to so many classes are multiplied out.
+SMALL_RUN = 64
+#: Candidates that may belong together are compared in one task up to so many sets and shingles; beyond, in rounds.
+TASK_SETS, TASK_ENTRIES = 4096, 16_000_000
+PIVOTS, ROUNDS = 3, 6
+#: Columns with so many entries count as frequent, and at most so many are told to the tasks (16 MB). They only set the order
+#: of the columns: with more or fewer, the result is the same.
+FREQUENT, MOST_FREQUENT = 8, 1_000_000
 WINDOW_ENTRIES, BLOCK_ENTRIES, FLUSH_ENTRIES = 4_000_000, 1_000_000, 1_000_000
+#: The filter of the sets to be compared in full has at most so many bits; a full one lets more through.
 MOST_FILTER_BITS = 1 << 24
 
 _rng = np.random.default_rng(20)
@@ -104,37 +109,53 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarr
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, size and signature of each text, and of each window the shingles that several of its sets have."""
-    rows: list[tuple] = []
-    window, held, seen = [], 0, set()
-
-    def out(extra: tuple | None = None) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        part = [list(c) for c in cols] + [[None] * len(rows), [None] * len(rows)]
-        if extra:
-            for c, v in zip(part, (None, None, None, *extra), strict=True):
-                c.append(v)
-        rows.clear()
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds, strict=True)], ["doc_id", "n_shingles", "sig", "hashes", "counts"])
-
-    def common() -> tuple:
-        h, n = np.unique(np.concatenate(window), return_counts=True) if window else (np.zeros(0, np.uint64), np.zeros(0, int))
-        return h[n > 1].view(np.int64), n[n > 1]
-
-    for doc_id, s in _texts(batches):
-        sig = signature(s) if len(s) else None
-        rows.append((doc_id, len(s), sig))
-        if sig is not None and sig not in seen:
-            seen.add(sig)
-            window.append(s)
-            held += len(s)
-        if held >= WINDOW_ENTRIES:
-            yield out(common())
-            window, held, seen = [], 0, set()
-        elif len(rows) >= 10_000:
+    """id, size and signature of each text."""
+    kinds = [pa.int64(), pa.int64(), pa.binary()]
+    for batch in batches:
+        rows = [(doc_id, len(s), signature(s) if len(s) else None) for doc_id, s in _texts([batch])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 3, kinds, strict=True)], ["doc_id", "n_shingles", "sig"])
+
+
+def _cells(bits: int, n_blocks: int):
+    """Each window's columns, cut to bits, as gaps in sorted order, by block of columns. Equal sets of a window count once."""
+    shift, per_block = np.uint64(64 - bits), np.uint64(-(-(1 << bits) // n_blocks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, held, seen = [], 0, set()
+
+        def out() -> pa.RecordBatch:
+            cells = np.sort(np.concatenate(window) >> shift)
+            block = (cells // per_block).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(block)) + 1
+            packed = []
+            for part in np.split(cells, cuts):
+                gaps = np.diff(part, prepend=part[:1])
+                kind = next(k for k in (np.uint16, np.uint32, np.uint64) if gaps.max() <= np.iinfo(k).max)
+                packed.append(bytes([np.dtype(kind).itemsize]) + part[:1].tobytes() + gaps.astype(kind).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(block[np.r_[0, cuts]]), pa.array(packed, pa.binary())], ["block", "cells"])
+
+        for _, s in _texts(batches):
+            if len(s) and (sig := signature(s)) not in seen:
+                seen.add(sig)
+                window.append(s)
+                held += len(s)
+                if held >= WINDOW_ENTRIES:
+                    yield out()
+                    window, held, seen = [], 0, set()
+        if window:
             yield out()
-    yield out(common())
+
+    return run
+
+
+def _counted(block: pd.DataFrame) -> pd.DataFrame:
+    """The cells of a block with FREQUENT entries or more."""
+    parts = []
+    for x in block["cells"]:
+        gaps = np.frombuffer(x, f"<u{x[0]}", offset=9).astype(np.uint64)
+        parts.append(np.frombuffer(x, "<u8", 1, 1) + np.cumsum(gaps, dtype=np.uint64))
+    cell, n = np.unique(np.concatenate(parts), return_counts=True)
+    return pd.DataFrame({"cell": cell[n >= FREQUENT].astype(np.int64), "n": n[n >= FREQUENT]})
 
 
 ENTRY = np.dtype([("sig", "V16"), ("n", "<u4"), ("place", "<u4"), ("hash", "<u8")])
@@ -145,7 +166,7 @@ def _need(n):
     return (LINK[0] * n + LINK[1] - 1) // LINK[1]
 
 
-def _entries(shared, n_blocks: int):
+def _entries(shared, bits: int, n_blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, order = shared.value
         parts, held, seen = [], 0, set()
@@ -166,8 +187,9 @@ def _entries(shared, n_blocks: int):
             seen.add(sig)
             n = len(s)
             if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                often = frequent[at] == s
+                cells = (s >> np.uint64(64 - bits)).astype(np.int64)
+                at = np.minimum(np.searchsorted(frequent, cells), len(frequent) - 1)
+                often = frequent[at] == cells
                 s = np.concatenate([s[~often], s[often][np.argsort(order[at[often]])]])
             e = np.empty(n - _need(n) + 1, ENTRY)
             e["sig"], e["n"], e["place"], e["hash"] = np.frombuffer(sig, "V16"), n, np.arange(len(e)), s[: len(e)]
@@ -190,45 +212,84 @@ def _possible(n1, p1, n2, p2):
 
 
 def _multiply(block: pd.DataFrame) -> pd.DataFrame:
-    """Of one block of columns: pairs with their overlap, and the members of long runs."""
+    """Of one block of columns: pairs with their overlap (overlap null: just that they share a frequent column), and the
+    entries of frequent columns."""
     e = np.concatenate([np.frombuffer(x, ENTRY) for x in block["entries"]])
-    key = np.frombuffer(np.ascontiguousarray(e["sig"]).tobytes(), ">u8").reshape(-1, 2)
-    e = e[np.lexsort((key[:, 1], key[:, 0], e["hash"]))]
-    key = np.frombuffer(np.ascontiguousarray(e["sig"]).tobytes(), ">u8").reshape(-1, 2)
-    same_hash = np.r_[False, e["hash"][1:] == e["hash"][:-1]]
-    e = e[~(same_hash & np.r_[False, (key[1:] == key[:-1]).all(axis=1)])]
+    keys = np.frombuffer(np.ascontiguousarray(e["sig"]).tobytes(), ">u8").reshape(-1, 2)
+    by = np.lexsort((keys[:, 1], keys[:, 0]))
+    new = np.r_[True, (keys[by][1:] != keys[by][:-1]).any(axis=1)]
+    node = np.empty(len(e), np.int64)
+    node[by] = np.cumsum(new) - 1
+    sigs = e["sig"][by][new]
+    size_of = e["n"][by][new].astype(np.int64)
+    by = np.lexsort((node, e["hash"]))
+    e, node = e[by], node[by]
+    once = ~np.r_[False, (e["hash"][1:] == e["hash"][:-1]) & (node[1:] == node[:-1])]
+    e, node = e[once], node[once]
     cuts = np.flatnonzero(np.r_[True, e["hash"][1:] != e["hash"][:-1]])
     sizes = np.diff(np.r_[cuts, len(e)])
-    n, place, sig = e["n"].astype(np.int64), e["place"].astype(np.int64), e["sig"]
-    left, right = [], []
+    n, place = e["n"].astype(np.int64), e["place"].astype(np.int64)
+    codes = [np.zeros(0, np.int64)]
     for size in range(2, SMALL_RUN + 1):
         at = cuts[sizes == size]
-        for i in range(size):
+        for i in range(size if len(at) else 0):
             for j in range(i + 1, size):
                 ok = _possible(n[at + i], place[at + i], n[at + j], place[at + j])
-                left.append((at + i)[ok])
-                right.append((at + j)[ok])
-    a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
-    pairs = np.frombuffer(np.stack([np.frombuffer(sig[a].tobytes(), "V16"), np.frombuffer(sig[b].tobytes(), "V16")], axis=1).tobytes(), "V32") if len(a) else []
-    overlap: dict[bytes, int] = {}
-    for p in pairs:
-        overlap[p.tobytes()] = overlap.get(p.tobytes(), 0) + 1
+                codes.append(node[(at + i)[ok]] * len(sigs) + node[(at + j)[ok]])
+    code, overlap = np.unique(np.concatenate(codes), return_counts=True)
+    name = lambda ids: [sigs[i].tobytes() for i in ids]
+    a, b = code // len(sigs), code % len(sigs)
+    parts = [pd.DataFrame({"a": name(a), "b": name(b), "na": size_of[a], "nb": size_of[b], "overlap": overlap, "run": None})]
     runs = {}
     for at, size in zip(cuts[sizes > SMALL_RUN], sizes[sizes > SMALL_RUN], strict=True):
-        members = e[at : at + size]
-        runs.setdefault(hashlib.blake2b(members["sig"].tobytes(), digest_size=16).digest(), members)
-    rows = [(p[:16], p[16:], c, None, None, None) for p, c in overlap.items()]
-    rows += [(m["sig"].tobytes(), None, None, run, int(m["n"]), int(m["place"])) for run, members in runs.items() for m in members]
-    return pd.DataFrame(rows, columns=["a", "b", "overlap", "run", "n", "place"]).astype({"overlap": "Int64", "n": "Int64", "place": "Int64"})
+        runs.setdefault(node[at : at + size].tobytes(), slice(at, at + size))
+    for key, at in runs.items():
+        run, members = hashlib.blake2b(b"".join(name(node[at])), digest_size=16).digest(), name(node[at])
+        parts.append(pd.DataFrame({"a": members, "b": members[0], "na": n[at], "nb": place[at], "overlap": None, "run": run}))
+    return pd.concat([x.astype({"overlap": "Int64", "run": object}) for x in parts])
+
+
+def _together(group: pd.DataFrame) -> pd.DataFrame:
+    """The component of each set among sets that may belong together: each goes to the least set it is linked with."""
+    group = group.drop_duplicates("sig")
+    sigs, sets = group["sig"].tolist(), group["shingles"].tolist()
+    n = np.array([len(x) for x in sets])
+    left, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    by = np.argsort(left, kind="stable")
+    left, owner = left[by], owner[by]
+    label = np.full(len(sets), -1)
+    waiting = len(sets)
+    for start in range(len(sets)):
+        if label[start] >= 0:
+            continue
+        label[start] = start
+        queue = [start]
+        waiting -= 1
+        while queue and waiting:
+            i = queue.pop()
+            begin, end = np.searchsorted(left, sets[i]), np.searchsorted(left, sets[i], "right")
+            lengths = end - begin
+            at = np.repeat(begin - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+            overlap = np.bincount(owner[at], minlength=len(sets))
+            hit = np.flatnonzero((label < 0) & (overlap > 0) & (LINK[1] * overlap >= LINK[0] * (n + n[i] - overlap)))
+            label[hit] = start
+            queue += hit.tolist()
+            waiting -= len(hit)
+            left_open = label[owner] < 0
+            if 2 * left_open.sum() < len(owner):  # what is reached need not be met again
+                left, owner = left[left_open], owner[left_open]
+    least = {k: min(x for x, c in zip(sigs, label, strict=True) if c == k) for k in np.unique(label[label != np.arange(len(sets))])}
+    rows = [(x, least[k]) for x, k in zip(sigs, label.tolist(), strict=True) if k in least]
+    return pd.DataFrame(rows, columns=["node", "root"])
 
 
 def _comparisons(last: bool, turn: int):
     def run(members: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a run's members with different labels: pivots of the largest labels with all others, or (last) all."""
+        """Pairs of a column's classes with different labels: pivots of the largest labels with all others, or (last) all."""
         label, first, size = np.unique(members["root"].to_numpy(), return_inverse=True, return_counts=True)
         if len(label) < 2:
             return pd.DataFrame({"a": [], "b": []})
-        sig, n, place = members["a"].to_numpy(), members["n"].to_numpy(np.int64), members["place"].to_numpy(np.int64)
+        sig, n, place = members["a"].to_numpy(), members["na"].to_numpy(np.int64), members["nb"].to_numpy(np.int64)
         out = []
         if last:
             chosen = np.flatnonzero(first != np.argmax(size))  # every pair apart has one of these
@@ -287,47 +348,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(both.filter(linked(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id.
-
-    A text's set are its distinct 5-word shingles (words are runs of other characters than space and U+0009 to U+000D, A-Z
-    as a-z); of one to four words the whole sequence; null and blank texts have the empty set and link with nothing. Two
-    texts link when the Jaccard similarity of their sets is 3/4 or more. component_id is the least doc_id that links lead
-    to, the row's own included; null ids count as greater than others. Repeated rows are texts with equal sets. Other
-    columns are ignored; an empty table gives an empty result.
-
-    Sets are compared by 64-bit hashes of shingles; classes of equal sets go by 128-bit signatures.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = cut(rows.mapInArrow(_profile, "doc_id long, n_shingles long, sig binary, hashes array<bigint>, counts array<bigint>"))
-    profile = scanned.filter("n_shingles is not null").select("doc_id", "n_shingles", "sig")
-    totals = profile.agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("entries")).first()
-    n_blocks = max(1, (totals["entries"] or 0) // (3 * BLOCK_ENTRIES))
-
-    often = scanned.filter("hashes is not null").select(F.explode(F.arrays_zip("hashes", "counts")).alias("x")).groupBy(F.col("x.hashes").alias("h")).agg(F.sum("x.counts").alias("n"))
-    top = often.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toPandas()
-    frequent, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    by = np.argsort(frequent)
-    rank = np.empty(len(by), np.int64)
-    rank[np.lexsort((frequent, counts))] = np.arange(len(by))
-    shared = spark.sparkContext.broadcast((frequent[by], rank[by]))
-
-    entries = rows.mapInArrow(_entries(shared, n_blocks), "block int, entries binary")
-    product = cut(entries.groupBy("block").applyInPandas(_multiply, "a binary, b binary, overlap long, run binary, n long, place long"))
-    pairs = product.filter("b is not null").groupBy("a", "b").agg(F.sum("overlap").alias("overlap")).select("a", "b")
-    members = product.filter("run is not null").groupBy("run", "a").agg(F.first("n").alias("n"), F.first("place").alias("place"))
+def _by_rounds(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """node and root of the components of classes too many for one task."""
     members = cut(members)
-    first = members.select(F.col("a").alias("sig")).unionByName(product.filter("b is not null").select(F.explode(F.array("a", "b")).alias("sig"))).distinct()
-    needed = cut(first)
-    bits, size = _filter_of(needed, needed.count())
-    sets = cut(rows.mapInArrow(_arrays(spark.sparkContext.broadcast(bits), size), "sig binary, shingles array<bigint>").groupBy("sig").agg(F.first("shingles").alias("shingles")))
-
     links = _verified(pairs, sets)
     roots = components(links)
-    n_members = members.count()
     turn, last = 0, False
-    while n_members:
+    while True:
         labelled = members.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
         tried = labelled.groupBy("run").applyInPandas(_comparisons(last, turn), "a binary, b binary").distinct()
         new = _verified(tried, sets)
@@ -336,10 +363,62 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             links = links.unionByName(new)
             roots = components(links)
         if last:
-            break
+            return roots
         turn += 1
         last = not found or turn >= ROUNDS
 
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_sets: int = TASK_SETS) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id.
+
+    A text's set are its distinct 5-word shingles (words are runs of other characters than space and U+0009 to U+000D, A-Z
+    as a-z); of one to four words the whole sequence; null and blank texts have the empty set and link with nothing. Two
+    texts link when the Jaccard similarity of their sets is 3/4 or more. component_id is the least doc_id that links lead
+    to, the row's own included; null ids count as greater than others. Repeated rows are texts with equal sets. Other
+    columns are ignored; an empty table gives an empty result.
+
+    task_sets (default TASK_SETS) changes where sets are compared, not the result. Sets are compared by 64-bit hashes of
+    shingles; classes of equal sets go by 128-bit signatures.
+    """
+    spark = docs.sparkSession
+    context = spark.sparkContext
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    profile = cut(rows.mapInArrow(_profile, "doc_id long, n_shingles long, sig binary"))
+    totals = profile.agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("entries")).first()
+    entries = totals["entries"] or 0
+
+    bits = min(max(32, entries.bit_length() + 4), 60)
+    counted = rows.mapInArrow(_cells(bits, max(1, entries // WINDOW_ENTRIES)), "block long, cells binary").groupBy("block").applyInPandas(_counted, "cell long, n long")
+    top = counted.orderBy(F.desc("n"), "cell").limit(MOST_FREQUENT).toPandas().sort_values("cell")
+    rank = np.empty(len(top), np.int64)
+    rank[np.lexsort((top["cell"], top["n"]))] = np.arange(len(top))
+    shared = context.broadcast((top["cell"].to_numpy(np.int64), rank))
+
+    n_blocks = max(1, entries // (3 * BLOCK_ENTRIES))
+    dealt = rows.mapInArrow(_entries(shared, bits, n_blocks), "block int, entries binary").groupBy("block")
+    product = cut(dealt.applyInPandas(_multiply, "a binary, b binary, na long, nb long, overlap long, run binary"))
+    pairs = product.filter("run is null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("overlap").alias("overlap"))
+    kept = lambda n: n - F.floor((LINK[0] * n + LINK[1] - 1) / LINK[1]) + 1
+    rest = F.greatest(F.col("na") - kept(F.col("na")), F.col("nb") - kept(F.col("nb")))  # beyond the entries that were dealt
+    pairs = cut(pairs.filter((LINK[0] + LINK[1]) * (F.col("overlap") + rest) >= LINK[0] * (F.col("na") + F.col("nb"))).select("a", "b"))
+    members = product.filter("run is not null").groupBy("run", "a").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("b").alias("b"))
+
+    near = components(pairs.unionByName(members.select("a", "b")))
+    near = cut(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()))
+    sizes = profile.filter("sig is not null").groupBy(F.col("sig").alias("node")).agg(F.first("n_shingles").alias("n"))
+    groups = cut(near.join(sizes, "node").groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("entries")))
+    large = cut(groups.filter((F.col("sets") > task_sets) | (F.col("entries") > TASK_ENTRIES)).select("root"))
+    wanted, size = _filter_of(near.withColumnRenamed("node", "sig"), near.count())
+    found = rows.mapInArrow(_arrays(context.broadcast(wanted), size), "sig binary, shingles array<bigint>")
+    found = found.join(near.withColumnRenamed("node", "sig"), "sig")
+    if large.isEmpty():
+        roots = cut(found.groupBy("root").applyInPandas(_together, "node binary, root binary"))
+    else:
+        sets = cut(found.join(large, "root", "left_semi").groupBy("sig").agg(F.first("shingles").alias("shingles")))
+        inside = near.join(large, "root", "left_semi").select(F.col("node").alias("a"))
+        by_rounds = _by_rounds(pairs.join(inside, "a", "left_semi"), members.join(inside, "a", "left_semi"), sets)
+        roots = cut(found.join(large, "root", "left_anti").groupBy("root").applyInPandas(_together, "node binary, root binary").unionByName(by_rounds))
+
     classes = profile.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     classes = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     classes = cut(classes)
