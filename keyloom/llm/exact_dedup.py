@@ -59,6 +59,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns (of types that can be ordered).
+
+    Grouping on (hash, text) compares the bytes, and each task sends one row of a group at most. Null and empty texts are
+    equal; of rows with the same id and text the one with the least (or largest) other columns stays.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    best = F.max if keep == "largest" else F.min
+    row = F.struct(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("none"), F.struct(*[c for c in docs.columns if c != text_col]).alias("rest"))
+    kept = docs.select(content_hash(text).alias("h"), text.alias("text"), row.alias("row")).groupBy("h", "text").agg(best("row").alias("row"))
+    value = F.when(~F.col("row.none"), F.col("text")).cast(docs.schema[text_col].dataType)
+    return kept.select(*[value.alias(c) if c == text_col else F.col("row.rest")[c].alias(c) for c in docs.columns])
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 

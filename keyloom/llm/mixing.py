@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import WORD, cut, table
+from keyloom.llm.common import WORD, cut, kept_columns, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -69,7 +69,8 @@ def mix_sources(
     seed: str = "mix",
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per row of docs: doc_id, the columns of keep, size, source_size, target, copies and taken (copies * size).
+    """One row per row of docs: doc_id, the struct keep of the columns listed in keep, size, source_size, target, copies and
+    taken (copies * size).
 
     Each document gets the whole copies that its source's ratio of target to words makes certain. The words still wanted
     come from one more copy of some documents, chosen by Pareto order sampling with inclusion odds in proportion to size:
@@ -79,40 +80,44 @@ def mix_sources(
 
     Null and blank texts have size 0; they go with the certain copies only. A null source is a source of its own. Ties
     in rank (repeated ids) go by id, then by text hash and place in the table. An empty table gives an empty result.
-    Other columns are ignored unless listed in keep; their names must differ from the result's.
+    Other columns are ignored unless listed in keep. docs is read more than once: it must be a stored table, or another plan
+    that gives the same rows in the same partitions each time.
     """
-    rows = cut(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-            F.monotonically_increasing_id().alias("row"),
-            *keep,
-        )
-    )
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
+    whole = docs.select(F.col(id_col).alias("doc_id"), kept_columns(keep), F.col(source_col).alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("row"))
+    rows = cut(whole.drop("keep"))
     plan = cut(targets(rows, weights, share, most))
     n_sources = plan.count()
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("certain", F.floor(ratio)).withColumn("wanted", F.col("target") - F.col("certain") * F.col("source_size"))
     plan = plan.withColumn("chance", F.col("wanted") / F.col("source_size"))  # the share that gets one more copy
 
-    joined = with_source(rows, plan, n_sources)
-    u = uniform(F.col("doc_id"), seed)
-    odds = F.col("chance") / (1 - F.col("chance")) * (F.col("size") * F.col("n") / F.col("source_size"))
-    rank = F.when((F.col("size") > 0) & (F.col("chance") > 0), u / (1 - u) / odds)
-    ranked = joined.withColumn("rank", rank).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
+    def ranked(rows: DataFrame) -> DataFrame:
+        u = uniform(F.col("doc_id"), seed)
+        odds = F.col("chance") / (1 - F.col("chance")) * (F.col("size") * F.col("n") / F.col("source_size"))
+        rank = F.when((F.col("size") > 0) & (F.col("chance") > 0), u / (1 - u) / odds)
+        return with_source(rows, plan, n_sources).withColumn("rank", rank)
 
+    binned = ranked(rows).filter("rank is not null").withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
     so_far = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = ranked.filter("bin is not null").groupBy("source", "bin", "wanted").agg(F.sum("size").alias("words")).withColumn("through", F.sum("words").over(so_far))
-    cutoff = bins.filter("through > wanted").groupBy("source").agg(F.min("bin").alias("last"), F.min(F.struct("bin", (F.col("through") - F.col("words")).alias("n")))["n"].alias("before"))
-    marked = with_source(ranked, cut(plan.select("source").join(cutoff, plan["source"].eqNullSafe(cutoff["source"]), "left").select(plan["source"], F.coalesce("last", F.lit(BINS)).alias("last"), "before")), n_sources)
-
+    bins = binned.groupBy("source", "bin", "wanted").agg(F.sum("size").alias("words")).withColumn("through", F.sum("words").over(so_far))
+    cutoff = cut(bins.filter("through > wanted").groupBy("source").agg(F.min(F.struct("bin", (F.col("through") - F.col("words")).alias("n"))).alias("cutoff")))
+    place = F.struct("rank", "doc_id", "row")
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    clear = marked.filter("bin is null or bin <> last").withColumn("more", F.when(F.col("bin") < F.col("last"), 1).otherwise(0))
-    close = marked.filter("bin = last").withColumn("sum", F.col("before") + F.sum("size").over(order))
-    close = close.withColumn("more", F.when(2 * F.col("sum") - F.col("size") <= 2 * F.col("wanted"), 1).otherwise(0)).drop("sum")
-    out = clear.unionByName(close).withColumn("copies", F.col("certain") + F.col("more"))
-    return out.select("doc_id", *keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    close = with_source(binned, cutoff, n_sources).filter("bin = cutoff.bin").withColumn("sum", F.col("cutoff.n") + F.sum("size").over(order))
+    taken = close.filter(2 * F.col("sum") - F.col("size") <= 2 * F.col("wanted")).groupBy("source").agg(F.max(place).alias("last"))
+    limits = cut(
+        plan.select("source").join(cutoff.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        .join(taken.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    )
+
+    # a document gets one more copy if it comes no later than the last that does; nothing but the sources' limits moves
+    out = with_source(ranked(whole if keep else rows), limits, n_sources)
+    bin_ = F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int")
+    more = F.when(F.col("rank").isNull(), 0).when(F.col("cutoff").isNull() | (bin_ < F.col("cutoff.bin")), 1).when((bin_ == F.col("cutoff.bin")) & (place <= F.col("last")), 1).otherwise(0)
+    out = out.withColumn("copies", F.col("certain") + more)
+    return out.select("doc_id", *(["keep"] if keep else []), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, let, table, words
+from keyloom.llm.common import cut, kept_columns, let, settled, table, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -63,13 +63,14 @@ def count_of(text: Column, characters: str) -> Column:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, the columns of keep, and what the rules look at, all as long."""
+    """doc_id, the struct keep of the columns to be kept, and what the rules look at, all as long."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # one column a step: each is used several times by the next, and so is not computed again
-    split = docs.select(F.col(id_col).alias("doc_id"), *keep, text.alias("text"), words(text).alias("w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    split = docs.select(F.col(id_col).alias("doc_id"), kept_columns(keep), text.alias("text"), words(text).alias("w"), lines.alias("lines"))
     return split.select(
         "doc_id",
-        *keep,
+        "keep",
         F.size("w").cast("long").alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
@@ -125,14 +126,16 @@ def votes() -> list[Column]:
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, the columns of keep, the statistics, base_failed, quality (a posterior) and kept.
+    """One row per row of docs: doc_id, the struct keep of the columns listed in keep, the statistics, base_failed, quality
+    (a posterior) and kept.
 
     A text fails outright on base_failed. For the rest each rule of RULES votes good, bad or abstains; EM over the
     counts of vote patterns of all rows fits each rule's error rates, and kept says that the posterior probability of
     good is at least one half. Null and blank texts have no words, and fail; repeated rows are judged alike; an empty
     table gives an empty result. Very long texts are read whole. Other columns are ignored unless listed in keep.
     """
-    stats = cut(statistics(docs, id_col, text_col, keep))
+    stats = statistics(docs, id_col, text_col, keep)
+    stats = settled(stats) if keep else cut(stats)  # what is kept may be whole texts: these are rather read again
     names = [f"vote_{name}" for name, _, _ in RULES]
     voted = stats.select("*", F.expr(BASE_FAILED).alias("base_failed"), *votes())
     counts = voted.filter(~F.col("base_failed")).groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 3 ** 6 rows

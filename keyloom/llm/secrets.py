@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, let, table
+from keyloom.llm.common import cut, kept_columns, let, table
 
 #: kind, expression, group whose length counts, least length. The order of kinds breaks ties between spans.
 KINDS = [
@@ -123,7 +123,8 @@ def class_limit(candidate: Column, classes: Sequence[tuple[str, str, float]] = C
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: Sequence[str] = ALLOWED, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, the columns of keep, and found: kind, start and end of each span, in order.
+    """One row per row of docs: doc_id, the struct keep of the columns listed in keep, and found: kind, start and end of each
+    span, in order.
 
     Spans count code points, end exclusive, and go by start, then kind (assign, access, hex, entropy). Matches of the known
     shapes always stay. Spans of kind entropy are the merged windows of a long unbroken string whose entropy reaches the
@@ -132,7 +133,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are ignored unless listed in keep.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), *keep, text.alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), kept_columns(keep), text.alias("text"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     long_enough = lambda least: lambda x: F.char_length(x["group"]) >= least
     of_kind = lambda k: lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))
@@ -152,7 +153,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = base.withColumn("entropy", F.coalesce(F.flatten(F.transform(F.filter(likely, plain), windows)), none))
     names = F.array(*[F.lit(k[0]) for k in KINDS], F.lit("entropy"))
     spans = F.transform(F.sort_array(F.concat(*arrays, F.col("entropy"))), lambda x: F.struct(F.get(names, x["kind"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return base.select("doc_id", *keep, spans.alias("found"))
+    return base.select("doc_id", "keep", spans.alias("found"))
 
 
 def written(spans: Column) -> Column:

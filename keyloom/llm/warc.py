@@ -10,14 +10,13 @@ import base64
 import gzip
 import hashlib
 import io
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import attach, cut, table
+from keyloom.llm.common import attach, cut, shared_folder, table
 
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -195,12 +194,6 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors share."""
-    cut(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
-
-
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
