@@ -155,11 +155,11 @@ class OrderedIndex:
         Several requests for one key go, in order, to its first, second ... entry.
         """
         wanted = self._requests(requests, order)
-        new = wanted.select(*[F.col(n).alias(f"__{n}") for n in self.identity], F.col("__n").alias("__m"), F.struct(*checked(wanted, self.spec.row)).alias("__new"))
+        new = wanted.select(*[F.col(n).alias(f"__key_{n}") for n in self.identity], F.col("__n").alias("__m"), F.struct(*checked(wanted, self.spec.row)).alias("__new"))
         touched, rest = self._numbered(wanted)
         same = F.col("__n") == F.col("__m")
         for n in self.identity:
-            same = same & F.col(n).eqNullSafe(F.col(f"__{n}"))
+            same = same & F.col(n).eqNullSafe(F.col(f"__key_{n}"))
         joined = touched.join(new, same, "left")
         values = {c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) for c in self.spec.row_names}
         return OrderedIndex(self.spec, rest.unionByName(joined.select(*[values.get(c, F.col(c)) for c in self.df.columns])))

@@ -73,8 +73,8 @@ class IndexSpec:
             raise ValueError("an index needs a key")
         if len(set(names)) < len(names):
             raise ValueError("column names must differ")
-        if {"_seq", "_arity"} & set(names):
-            raise ValueError("_seq and _arity are the index's own columns")
+        if {"_seq", "_arity"} & set(names) or any(n.startswith("__") for n in names):
+            raise ValueError("_seq, _arity and names that begin with __ are the index's own")
 
     @property
     def key_names(self) -> list[str]:
