@@ -41,10 +41,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the token ids of the text (binary, little-endian unsigned 32-bit), their number, and digests of the ids and of
     the text that they decode to."""
-    path = bpe.vocabulary()
-    encoded = bpe.encode(docs.select("doc_id", "text"), path).select("doc_id", "ids")
-    decoded = bpe.decode(encoded, path)
-    return decoded.select(
+    return bpe.encode_decode(docs.select("doc_id", "text"), bpe.vocabulary(), keep_text=False).select(
         "doc_id",
         "ids",
         F.floor(F.octet_length("ids") / 4).alias("n_tokens"),

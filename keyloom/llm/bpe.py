@@ -48,7 +48,7 @@ END = frozenset(".,;:!?")
 #: Words of so many texts are remembered at most; encoding is the same with or without.
 REMEMBERED = 200_000
 #: Longer texts are split a piece at a time, and output batches are closed at about this size.
-PIECE, BATCH_BYTES = 1_000_000, 16_000_000
+PIECE, BATCH_BYTES = 1_000_000, 8_000_000
 
 
 def byte_of() -> dict[str, int]:
@@ -196,7 +196,7 @@ class Encoder:
         self.after_space = Words(self._after_space)
 
     def _word(self, word: str) -> bytes:
-        if len(self.automaton.table) >= 10 * REMEMBERED:
+        if len(self.automaton.table) >= 2 * REMEMBERED:
             self.automaton.table.clear()
         return b"".join([i.to_bytes(4, "little") for i in self.automaton.path(word.encode("utf-8", "replace"))])
 
@@ -259,9 +259,16 @@ def tokenizer(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast((hashlib.sha256(definition.encode()).hexdigest(), definition))
 
 
-def _mapped(df: DataFrame, column: str, new: str, kind: T.DataType, arrow: pa.DataType, make) -> DataFrame:
-    """df with column new = make()(value of column), in batches of bounded size. column must be the last of df."""
+IDS, TEXT = (T.BinaryType(), pa.binary()), (T.StringType(), pa.string())
+
+
+def _mapped(df: DataFrame, column: str, new: dict[str, tuple[T.DataType, pa.DataType]], make, drop: bool = False) -> DataFrame:
+    """df with the columns new = make()(value of column), in batches of bounded size; without column itself if drop."""
+    clash = set(new) & set(df.columns)
+    if clash:
+        raise ValueError(f"{sorted(clash)} are columns already")
     names = df.columns
+    kept = [n for n in names if not (drop and n == column)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -270,13 +277,14 @@ def _mapped(df: DataFrame, column: str, new: str, kind: T.DataType, arrow: pa.Da
             values = batch.column(names.index(column))
             for i in range(batch.num_rows):
                 out.append(f(values[i].as_py()))
-                size += len(out[-1])
+                size += sum(map(len, out[-1]))
                 if size >= BATCH_BYTES or i + 1 == batch.num_rows:
                     part = batch.slice(begin, i + 1 - begin)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, arrow)], [*names, new])
+                    arrays = [pa.array(c, kind) for c, (_, kind) in zip(zip(*out, strict=True), new.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*[part.column(names.index(n)) for n in kept], *arrays], [*kept, *new])
                     begin, size, out = i + 1, 0, []
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(new, kind)]))
+    return df.mapInArrow(run, T.StructType([*[df.schema[n] for n in kept], *[T.StructField(n, kind) for n, (kind, _) in new.items()]]))
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -286,28 +294,40 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     token's own string in a text becomes that token. Null and empty texts have no ids. Rows are handled one by one: ties,
     repeated rows and other columns change nothing; ids_col must be a new name.
     """
-    if ids_col in docs.columns:
-        raise ValueError(f"{ids_col} is a column already")
     shared = tokenizer(docs.sparkSession, path)
 
     def make():
         encoder = _encoder(shared)
-        return lambda text: encoder.encode(text or "")
+        return lambda text: (encoder.encode(text or ""),)
 
-    return _mapped(docs, text_col, ids_col, T.BinaryType(), pa.binary(), make)
+    return _mapped(docs, text_col, {ids_col: IDS}, make)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """encoded with text_col: the text that the ids spell; null ids give the empty text."""
-    if text_col in encoded.columns:
-        raise ValueError(f"{text_col} is a column already")
     shared = tokenizer(encoded.sparkSession, path)
 
     def make():
         automaton = _encoder(shared).automaton
-        return lambda ids: automaton.decode(ids or b"")
+        return lambda ids: (automaton.decode(ids or b""),)
+
+    return _mapped(encoded, ids_col, {text_col: TEXT}, make)
+
+
+def encode_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", keep_text: bool = True) -> DataFrame:
+    """encode, then decode of the ids it gave, in one pass through one worker."""
+    shared = tokenizer(docs.sparkSession, path)
+
+    def make():
+        encoder = _encoder(shared)
+
+        def both(text: str | None) -> tuple[bytes, str]:
+            ids = encoder.encode(text or "")
+            return ids, encoder.automaton.decode(ids)
+
+        return both
 
-    return _mapped(encoded, ids_col, text_col, T.StringType(), pa.string(), make)
+    return _mapped(docs, text_col, {ids_col: IDS, decoded_col: TEXT}, make, drop=not keep_text)
 
 
 def ids_array(ids) -> F.Column:
@@ -323,12 +343,9 @@ def vocabulary() -> str:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode(docs, path).select("doc_id", "ids")
-    return decode(ids, path).select(
+    return encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), keep_text=False).select(
         "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
