@@ -332,7 +332,8 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: s
 
 def ids_array(ids) -> F.Column:
     """Binary ids as an array of ints."""
-    at = lambda i: F.conv(F.hex(F.reverse(F.substring(ids, i * 4 + 1, F.lit(4)))), 16, 10).cast("int")
+    pair = lambda i, k: F.substring(F.hex(F.substring(ids, i * 4 + 1, F.lit(4))), F.lit(2 * k + 1), F.lit(2))
+    at = lambda i: F.conv(F.concat(*[pair(i, k) for k in (3, 2, 1, 0)]), 16, 10).cast("int")
     return F.when(F.octet_length(ids) > 0, F.transform(F.sequence(F.lit(0), (F.octet_length(ids) / 4 - 1).cast("int")), at)).otherwise(F.array().cast("array<int>"))
 
 

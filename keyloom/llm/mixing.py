@@ -91,12 +91,13 @@ def mix_sources(
     n_sources = plan.count()
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("certain", F.floor(ratio)).withColumn("wanted", F.col("target") - F.col("certain") * F.col("source_size"))
-    plan = plan.withColumn("chance", F.col("wanted") / F.col("source_size"))  # the share that gets one more copy
+    # the share that gets one more copy, below one whatever the rounding
+    plan = plan.withColumn("chance", F.when(F.col("source_size") > 0, F.least(F.col("wanted") / F.col("source_size"), F.lit(1 - 2.0**-40))))
 
     def ranked(rows: DataFrame) -> DataFrame:
         u = uniform(F.col("doc_id"), seed)
-        odds = F.col("chance") / (1 - F.col("chance")) * (F.col("size") * F.col("n") / F.col("source_size"))
-        rank = F.when((F.col("size") > 0) & (F.col("chance") > 0), u / (1 - u) / odds)
+        odds = F.col("chance") / (1 - F.col("chance")) * F.try_divide(F.col("size") * F.col("n"), F.col("source_size"))
+        rank = F.when((F.col("size") > 0) & (F.col("chance") > 0), F.try_divide(u / (1 - u), odds))
         return with_source(rows, plan, n_sources).withColumn("rank", rank)
 
     binned = ranked(rows).filter("rank is not null").withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
