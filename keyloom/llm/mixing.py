@@ -100,7 +100,10 @@ def mix_sources(
         rank = F.when((F.col("size") > 0) & (F.col("chance") > 0), F.try_divide(u / (1 - u), odds))
         return with_source(rows, plan, n_sources).withColumn("rank", rank)
 
-    binned = ranked(rows).filter("rank is not null").withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
+    # without the source's own chance, which only scales its ranks, these spread over the bins alike in every source
+    spread = F.col("rank") * (F.col("chance") / (1 - F.col("chance")))
+    bin_ = F.floor(spread / (1 + spread) * BINS).cast("int")
+    binned = ranked(rows).filter("rank is not null").withColumn("bin", bin_)
     so_far = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = binned.groupBy("source", "bin", "wanted").agg(F.sum("size").alias("words")).withColumn("through", F.sum("words").over(so_far))
     cutoff = cut(bins.filter("through > wanted").groupBy("source").agg(F.min(F.struct("bin", (F.col("through") - F.col("words")).alias("n"))).alias("cutoff")))
@@ -115,7 +118,6 @@ def mix_sources(
 
     # a document gets one more copy if it comes no later than the last that does; nothing but the sources' limits moves
     out = with_source(ranked(whole if keep else rows), limits, n_sources)
-    bin_ = F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int")
     more = F.when(F.col("rank").isNull(), 0).when(F.col("cutoff").isNull() | (bin_ < F.col("cutoff.bin")), 1).when((bin_ == F.col("cutoff.bin")) & (place <= F.col("last")), 1).otherwise(0)
     out = out.withColumn("copies", F.col("certain") + more)
     return out.select("doc_id", *(["keep"] if keep else []), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
