@@ -283,6 +283,7 @@ def _mapped(df: DataFrame, column: str, new: dict[str, tuple[T.DataType, pa.Data
                     arrays = [pa.array(c, kind) for c, (_, kind) in zip(zip(*out, strict=True), new.values(), strict=True)]
                     yield pa.RecordBatch.from_arrays([*[part.column(names.index(n)) for n in kept], *arrays], [*kept, *new])
                     begin, size, out = i + 1, 0, []
+        pa.default_memory_pool().release_unused()  # workers wait for other tasks
 
     return df.mapInArrow(run, T.StructType([*[df.schema[n] for n in kept], *[T.StructField(n, kind) for n, (kind, _) in new.items()]]))
 

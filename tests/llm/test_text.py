@@ -161,6 +161,7 @@ MENU = "<nav><ul><li><a href='/a'>Home</a><li><a>About</a></ul></nav>"
 CASES = [
     (page(MENU + "<article><h1>A &amp; B</h1><p>One\n  two<b>three<br>four<p>five</article><footer>&copy; x</footer></body></html>"), "A & B\nOne twothree\nfour\nfive"),
     (page('<header>Site</header><div class="ad">Buy<article><header><h1>Title</h1></header><p>Text</p><aside>see</aside><form>f<input></form><div class="comments"><p>me too</p></div></article>'), "Title\nText"),
+    (page("<div class='page-header'><h1>Site</h1></div><article><div class='entry-header'><h1>T</h1></div><div class='alert'>!</div><p>x</article>"), "T\nx"),
     (page("<main><p>a<!-- b --><style>c</style>d</p><div id='cookie-notice'>e</div><p hidden>f</p></main><p>outside</p>"), "ad"),
     (page("<div class='sidebar'>s</div><p>no article &lt;here&gt;</p><noscript>n</noscript>"), "no article <here>"),
     (page("<article><p>1 < 2 and <i>3</i></p></section></div><p>end"), "1 < 2 and 3\nend"),
