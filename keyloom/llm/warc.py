@@ -13,7 +13,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import attach, cut, shared_folder, table
@@ -56,26 +56,31 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(
-        F.col(id_col).cast("string").alias("page"),
+        F.col(id_col).cast("long").alias("id"),
         F.regexp_replace(F.col(url_col).cast("string"), r"[\r\n]", " ").alias("url"),
         html.alias("html"),
         F.sha1(F.encode(html, "UTF-8")).alias("digest"),
-        F.col(id_col).cast("long").alias("id"),
-        F.monotonically_increasing_id().alias("row"),
     )
-    keys = cut(rows.select("id", "row", "digest", F.octet_length("html").alias("bytes")))
-    total = keys.count()
-    equal = keys.filter(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max(F.struct("id", "row"))["row"].alias("kept"), F.count("*").alias("n"))
-    equal = cut(equal.filter("n > 1"))
-    marked = cut(attach(keys.select("row", "digest"), equal, "digest", "n", total).filter("kept <> row").select("row", "kept"))
-    # a page is told by its row only now: pages move once, and stay whole in between
-    joined = rows.join(marked, "row", "left")
+    ids = rows.groupBy("digest", "id").agg(F.count("*").alias("same"), F.first(F.octet_length("html")).alias("bytes"))
+    groups = ids.groupBy("digest").agg(F.max(F.struct("id", "same")).alias("best"), F.sum("same").alias("n"), F.first("bytes").alias("bytes"))
+    groups = cut(groups.select("digest", "n", F.col("best.id").alias("best_id"), F.col("best.same").alias("same"), (F.col("bytes") >= least_bytes).alias("joins")))
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # rows are told apart within this one job only: another reading may deal them into other partitions
+    joined = attach(rows.withColumn("row", F.monotonically_increasing_id()), groups, "digest", "n", total)
+    best = F.col("id").eqNullSafe(F.col("best_id"))
+    if groups.filter("joins and same > 1").isEmpty():
+        joined = joined.withColumn("chosen", best)
+    else:  # the largest id is repeated: one of its rows is chosen
+        several = best & (F.col("same") > 1)
+        place = F.row_number().over(Window.partitionBy("digest").orderBy("row"))
+        joined = joined.filter(~several).withColumn("chosen", best).unionByName(joined.filter(several).withColumn("chosen", place == 1))
+    revisit = F.col("joins") & ~F.col("chosen")
+    own = F.concat_ws(":", "digest", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("row").cast("string"))
+    response_id = F.when(F.col("joins") & F.col("chosen"), _record_id("response", F.col("digest"))).otherwise(_record_id("row", own))
     length = F.octet_length("html").cast("string")
     payload_digest = F.concat(F.lit("sha1:"), base32_of_hex(F.col("digest")))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), length, F.lit(CRLF + CRLF))
-    response_id = _record_id("response", F.col("row").cast("string"))
     common = [("WARC-Target-URI", F.col("url")), ("WARC-Date", F.lit(date))]
-    revisit = F.col("kept").isNotNull()
     response = _record(
         F.when(revisit, "revisit").otherwise("response"),
         [
@@ -83,15 +88,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             *common,
             ("WARC-Payload-Digest", payload_digest),
             ("WARC-Profile", F.when(revisit, F.lit(REVISIT_PROFILE))),
-            ("WARC-Refers-To", F.when(revisit, _record_id("response", F.col("kept").cast("string")))),
+            ("WARC-Refers-To", F.when(revisit, _record_id("response", F.col("digest")))),
             ("Content-Type", F.lit("application/http;msgtype=response")),
         ],
         F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("html"))),
     )
     side = [*common, ("WARC-Concurrent-To", response_id)]
-    request = _record("request", [("WARC-Record-ID", _record_id("request", F.col("row").cast("string"))), *side, ("Content-Type", F.lit("application/http;msgtype=request"))], F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(f" HTTP/1.1{CRLF}{CRLF}")))
-    fields = F.coalesce(F.concat(F.lit("page-id: "), F.col("page"), F.lit(CRLF)), F.lit(""))
-    metadata = _record("metadata", [("WARC-Record-ID", _record_id("metadata", F.col("row").cast("string"))), *side, ("Content-Type", F.lit("application/warc-fields"))], fields)
+    request = _record("request", [("WARC-Record-ID", _record_id("request", own)), *side, ("Content-Type", F.lit("application/http;msgtype=request"))], F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(f" HTTP/1.1{CRLF}{CRLF}")))
+    fields = F.coalesce(F.concat(F.lit("page-id: "), F.col("id").cast("string"), F.lit(CRLF)), F.lit(""))
+    metadata = _record("metadata", [("WARC-Record-ID", _record_id("metadata", own)), *side, ("Content-Type", F.lit("application/warc-fields"))], fields)
     records = joined.select(F.explode(F.array(request, response, metadata)).alias("value"))
     records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 3 * pages_per_file).text(path)
 
