@@ -29,7 +29,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share a doc_id stay or go together; rows without one stay.
     """
     least = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(least, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    return docs.filter("doc_id is not null").join(least, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -281,11 +281,14 @@ def _mapped(df: DataFrame, column: str, new: dict[str, tuple[T.DataType, pa.Data
                 if size >= BATCH_BYTES or i + 1 == batch.num_rows:
                     part = batch.slice(begin, i + 1 - begin)
                     arrays = [pa.array(c, kind) for c, (_, kind) in zip(zip(*out, strict=True), new.values(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*[part.column(names.index(n)) for n in kept], *arrays], [*kept, *new])
+                    yield pa.RecordBatch.from_arrays([*[part.column(names.index(n)) for n in kept], *arrays], [*[f"c{i}" for i in range(len(kept))], *[f"n{i}" for i in range(len(new))]])
                     begin, size, out = i + 1, 0, []
         pa.default_memory_pool().release_unused()  # workers wait for other tasks
 
-    return df.mapInArrow(run, T.StructType([*[df.schema[n] for n in kept], *[T.StructField(n, kind) for n, (kind, _) in new.items()]]))
+    # Spark takes the columns by name there, and some names cannot be said
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    fields = [*[T.StructField(f"c{i}", df.schema[n].dataType) for i, n in enumerate(kept)], *[T.StructField(f"n{i}", kind) for i, (kind, _) in enumerate(new.values())]]
+    return plain.mapInArrow(run, T.StructType(fields)).toDF(*kept, *new)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

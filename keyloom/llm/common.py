@@ -52,9 +52,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct("*"))).alias("x")).select("x.*")
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def kept_columns(names: Sequence[str]) -> Column:
     """The struct keep, in which an operator passes on columns of its input without a clash of names."""
-    return (F.struct(*names) if names else F.lit(None).cast("struct<>")).alias("keep")
+    return (F.struct(*map(quoted, names)) if names else F.lit(None).cast("struct<>")).alias("keep")
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:

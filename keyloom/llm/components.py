@@ -9,7 +9,7 @@ from keyloom.llm.common import attach, cut
 
 
 def _print(a: Column, b: Column) -> Column:
-    return F.pmod(F.xxhash64(a, b), F.lit(1 << 40))
+    return F.xxhash64(a, b).cast("decimal(20,0)")  # sums of longs would overflow
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

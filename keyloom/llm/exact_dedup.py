@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import attach, cut, table
+from keyloom.llm.common import attach, cut, quoted, table
 
 
 def content_hash(text: Column) -> Column:
@@ -67,7 +67,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     best = F.max if keep == "largest" else F.min
-    row = F.struct(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("none"), F.struct(*[c for c in docs.columns if c != text_col]).alias("rest"))
+    row = F.struct(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("none"), F.struct(*[quoted(c) for c in docs.columns if c != text_col]).alias("rest"))
     kept = docs.select(content_hash(text).alias("h"), text.alias("text"), row.alias("row")).groupBy("h", "text").agg(best("row").alias("row"))
     value = F.when(~F.col("row.none"), F.col("text")).cast(docs.schema[text_col].dataType)
     return kept.select(*[value.alias(c) if c == text_col else F.col("row.rest")[c].alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -58,5 +59,5 @@ def clashing(spark, rows, tmp_path_factory):
     df = spark.createDataFrame(rows[:40] + rows[:3] + [(None, "null id text of some words", "en", None, 1)] * 2, SCHEMA)
     for c in ("row", "h", "size", "kept", "keep_id", "sig", "w", "lines", "rank", "bin", "ids", "score", "label", "found", "keep", "x", "n"):
         df = df.selectExpr("*", f"'{c}' as {c}")
-    df.repartition(2).write.parquet(path)
+    df.withColumn("a.b `c`", F.lit(None).cast("int")).repartition(2).write.parquet(path)
     return spark.read.parquet(path)

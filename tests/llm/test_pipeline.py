@@ -79,6 +79,17 @@ def test_stages(spark, folder, tmp_path):
     assert Counter((r["doc_id"], bytes(r["ids"])) for r in whole) == Counter((r["doc_id"], bytes(r["ids"])) for r in rows)
 
 
+def test_stages_on_edges(spark, folder, tmp_path, clashing, nothing):
+    """Clashing names, null ids, repeated rows, and no rows at all."""
+    for name, docs in (("clashing", clashing), ("nothing", nothing)):
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, folder)
+            assert n == 4 or sorted(out.columns) == sorted(docs.columns)
+            out.write.parquet(str(tmp_path / f"{name}{n}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}{n}"))
+        assert (docs.count() > 0) == (name == "clashing")
+
+
 COLUMNS = {
     "op1_html_text": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
     "op2_ngram_join": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
