@@ -118,6 +118,12 @@ class OrderedIndex:
             inside = inside & (compare_keys(self.spec, mine[: len(high)], literal(high)) < 0)
         return OrderedIndex(self.spec, self.df.filter(inside)).traverse()
 
+    def layout(self) -> DataFrame:
+        """How entries lie: for each partition of the DataFrame its entries, and the least and largest first key column."""
+        name = self.spec.key_names[0]
+        place = F.spark_partition_id().alias("partition")
+        return self.df.groupBy(place).agg(F.count("*").alias("entries"), F.min(name).alias("least"), F.max(name).alias("largest"))
+
     # -- changing: each returns a new index
 
     def _next_seq(self) -> int:

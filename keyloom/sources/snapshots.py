@@ -17,7 +17,7 @@ from keyloom.schema import IndexSpec
 POINTER = "CURRENT"
 
 
-class _Folder:
+class Folder:
     """Small files in a folder of any file system that Spark can reach."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -58,7 +58,7 @@ class _Folder:
 
 def create_index(spark: SparkSession, path: str, spec: IndexSpec, files: int = 1) -> OrderedIndex:
     """A new, empty index at path."""
-    folder = _Folder(spark, path)
+    folder = Folder(spark, path)
     if folder.exists(POINTER):
         raise ValueError(f"there is an index at {path}")
     return commit_index(OrderedIndex.empty(spark, spec), path, files)
@@ -66,7 +66,7 @@ def create_index(spark: SparkSession, path: str, spec: IndexSpec, files: int = 1
 
 def open_index(spark: SparkSession, path: str) -> OrderedIndex:
     """The index at path as last committed."""
-    folder = _Folder(spark, path)
+    folder = Folder(spark, path)
     spec = IndexSpec.from_json(folder.read("spec.json"))
     return OrderedIndex(spec, spark.read.parquet(f"{path}/{folder.read(POINTER)}"))
 
@@ -74,7 +74,7 @@ def open_index(spark: SparkSession, path: str) -> OrderedIndex:
 def commit_index(index: OrderedIndex, path: str, files: int | None = None, keep: int = 2) -> OrderedIndex:
     """Write index as the current snapshot at path; the last keep snapshots stay for readers that still use them."""
     spark = index.df.sparkSession
-    folder = _Folder(spark, path)
+    folder = Folder(spark, path)
     if folder.exists("spec.json"):
         if IndexSpec.from_json(folder.read("spec.json")) != index.spec:
             raise ValueError("the index at this path is defined otherwise")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from keyloom.operators.index import OrderedIndex
 from keyloom.schema import KeyColumn, index_spec
+from keyloom.sources.database import Database
 from keyloom.sources.snapshots import commit_index, create_index, open_index
 from keyloom.streaming.ingest import ingest
 
@@ -188,3 +189,21 @@ def test_not_null_and_seconds(spark):
     assert index.df.select("t").distinct().count() == 1
     with pytest.raises(PySparkException, match="not nullable"):
         OrderedIndex.empty(spark, spec).insert(rows.selectExpr("t", "cast(null as int) v")).traverse().collect()
+
+
+def test_database(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    assert db.names() == []
+    index = db.create_index(PAIRS)
+    db.commit(index.insert(pairs(spark, INSERTS)), 2)
+    db.create_index(index_spec("other", [("a", "INT")]))
+    assert db.names() == ["other", "pairs"] and held(db.open_index("pairs")) == sorted(INSERTS)
+    layout = sorted((r["least"], r["largest"], r["entries"]) for r in db.open_index("pairs").layout().collect())
+    assert sum(x[2] for x in layout) == 16 and all(a[1] <= b[0] for a, b in zip(layout, layout[1:]))
+    db.drop_index("other")
+    assert db.names() == ["pairs"]
+    for bad in ("", "a/b", ".x"):
+        with pytest.raises(ValueError):
+            db.create_index(index_spec(bad, [("a", "INT")]))
+    with pytest.raises(ValueError, match="no index"):
+        db.open_index("other")
