@@ -11,6 +11,7 @@ from keyloom.llm.exact_dedup import keep_one
 from keyloom.llm.mixing import mix_sources
 from keyloom.llm.ngram_join import jaccard_components
 from keyloom.llm.quality_rules import quality_rules
+from keyloom.workers import reachable
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,13 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing sources", mixed), ("BPE encoding and decoding", tokens)]
+STAGES = [
+    ("quality rules", reachable(quality)),
+    ("exact dedup", reachable(exact)),
+    ("n-gram Jaccard join", reachable(near)),
+    ("mixing sources", reachable(mixed)),
+    ("BPE encoding and decoding", reachable(tokens)),
+]
 
 #: SQL has no BPE; tests/llm/test_pipeline.py compares the stages with a plain version.
 ORACLE_SQL = None
