@@ -190,7 +190,7 @@ def _entries(shared, bits: int, n_blocks: int):
                 cells = (s >> np.uint64(64 - bits)).astype(np.int64)
                 at = np.minimum(np.searchsorted(frequent, cells), len(frequent) - 1)
                 often = frequent[at] == cells
-                s = np.concatenate([s[~often], s[often][np.argsort(order[at[often]])]])
+                s = np.concatenate([s[~often], s[often][np.argsort(order[at[often]], kind="stable")]])
             e = np.empty(n - _need(n) + 1, ENTRY)
             e["sig"], e["n"], e["place"], e["hash"] = np.frombuffer(sig, "V16"), n, np.arange(len(e)), s[: len(e)]
             parts.append(e)
@@ -388,13 +388,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = totals["entries"] or 0
 
     bits = min(max(32, entries.bit_length() + 4), 60)
-    counted = rows.mapInArrow(_cells(bits, max(1, entries // WINDOW_ENTRIES)), "block long, cells binary").groupBy("block").applyInPandas(_counted, "cell long, n long")
+    # blocks of a few million entries; from some TB on larger ones, so that what a task sends to a block stays worth a row
+    counted = rows.mapInArrow(_cells(bits, max(1, min(entries // WINDOW_ENTRIES, WINDOW_ENTRIES // 16))), "block long, cells binary").groupBy("block").applyInPandas(_counted, "cell long, n long")
     top = counted.orderBy(F.desc("n"), "cell").limit(MOST_FREQUENT).toPandas().sort_values("cell")
     rank = np.empty(len(top), np.int64)
     rank[np.lexsort((top["cell"], top["n"]))] = np.arange(len(top))
     shared = context.broadcast((top["cell"].to_numpy(np.int64), rank))
 
-    n_blocks = max(1, entries // (3 * BLOCK_ENTRIES))
+    n_blocks = max(1, min(entries // (3 * BLOCK_ENTRIES), FLUSH_ENTRIES // 4))
     dealt = rows.mapInArrow(_entries(shared, bits, n_blocks), "block int, entries binary").groupBy("block")
     product = cut(dealt.applyInPandas(_multiply, "a binary, b binary, na long, nb long, overlap long, run binary"))
     pairs = product.filter("run is null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("overlap").alias("overlap"))
