@@ -172,8 +172,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_parsed, RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One nested row for each capture: capture_id, url, date, request, response and metadata.
+def assemble(records: DataFrame, payloads: bool = True) -> DataFrame:
+    """One nested row for each capture: capture_id, url, date, request, response (with its payload if payloads) and metadata.
 
     Records belong together when they name the same record in concurrent-to; the one named belongs with them. Of several
     records of one kind in a capture the one with the largest record id is taken; a kind that is missing is null.
@@ -187,7 +187,7 @@ def assemble(records: DataFrame) -> DataFrame:
             F.max("url").alias("url"),
             F.max("date").alias("date"),
             of(["request"], ["payload_bytes"]).alias("request"),
-            of(["response", "revisit"], ["type", "refers_to", "payload_bytes", "payload_digest", "payload"]).alias("response"),
+            of(["response", "revisit"], ["type", "refers_to", "payload_bytes", "payload_digest", *["payload"] * payloads]).alias("response"),
             of(["metadata"], ["payload"]).alias("metadata"),
         )
         .withColumn("metadata", F.when(F.col("metadata").isNotNull(), F.struct(F.col("metadata.record_id"), F.decode("metadata.payload", "UTF-8").alias("fields"))))
@@ -202,7 +202,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    captures = assemble(read_archives(spark, path))
+    captures = assemble(read_archives(spark, path), payloads=False)
     page = F.regexp_extract("metadata.fields", r"page-id: (-?\d+)", 1)
     flat = cut(
         captures.select(
