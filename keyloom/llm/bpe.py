@@ -46,7 +46,7 @@ SPLIT = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTER}+| ?{_NUMBER}+|
 DOUBLE = re.compile(r"\s\s")
 END = frozenset(".,;:!?")
 #: Words of so many texts are remembered at most; encoding is the same with or without.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Longer texts are split a piece at a time, and output batches are closed at about this size.
 PIECE, BATCH_BYTES = 1_000_000, 8_000_000
 
@@ -177,11 +177,15 @@ class Words(dict):
     def __init__(self, make) -> None:
         super().__init__()
         self.make = make
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if 2 * len(self) >= REMEMBERED:  # words that are met again come back from the generation before
+            self.before = dict(self)
             self.clear()
-        out = self.make(word)
+        out = self.before.get(word)
+        if out is None:
+            out = self.make(word)
         if len(word) <= 64:
             self[word] = out
         return out
