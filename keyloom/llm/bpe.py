@@ -18,6 +18,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -82,17 +84,33 @@ class Automaton:
         for when, pair in enumerate(spec["model"]["merges"], 1):
             u, v = pair.split(" ") if isinstance(pair, str) else pair
             self._merge(vocab[u], vocab[v], vocab[u + v], when)
-        self.below: list[dict[int, int]] = [{}]  # the arcs' labels as a tree of bytes
-        self.ends = [-1]
+        self.lengths = [len(label) for label in self.labels]
+        # the arcs' labels as a tree of bytes; for each node the longest label that its path begins with
+        self.below: list[dict[int, int]] = [{}]
+        above, ends = [0], [-1]
         for label, token in self.arcs.items():
             node = 0
             for b in label:
                 if b not in self.below[node]:
                     self.below[node][b] = len(self.below)
                     self.below.append({})
-                    self.ends.append(-1)
+                    above.append(node)
+                    ends.append(-1)
                 node = self.below[node][b]
-            self.ends[node] = token
+            ends[node] = token
+        self.three = {label[:3]: self._node(label[:3]) for label in self.arcs if len(label) >= 3}
+        self.best, self.shorter = [-1] * len(above), [-1] * n
+        for node in range(1, len(above)):
+            before = self.best[above[node]]
+            if ends[node] >= 0:
+                self.shorter[ends[node]] = before
+            self.best[node] = ends[node] if ends[node] >= 0 else before
+
+    def _node(self, label: bytes) -> int:
+        node = 0
+        for b in label:
+            node = self.below[node][b]
+        return node
 
     def _merge(self, u: int, v: int, uv: int, when: int) -> None:
         """The gadget of one merge."""
@@ -128,42 +146,47 @@ class Automaton:
         """
         if word in self.arcs:  # the first state has an arc for every token, and no other path spells it
             return [self.arcs[word]]
-        n, size, table_, below, ends = len(word), self.size, self.table, self.below, self.ends
-        i, state, tokens, begun, others, dead = 0, -1, [], [], [], set()
+        n, size, table_, below, best, shorter, lengths = len(word), self.size, self.table, self.below, self.best, self.shorter, self.lengths
+        three = self.three
+        i, state, tokens, dead, forward = 0, -1, [], set(), True
         while True:
-            choices, node, j = [], 0, i
-            while j < n:
-                node = below[node].get(word[j])
-                if node is None:
-                    break
-                j += 1
-                if ends[node] >= 0:
-                    choices.append((ends[node], j))
-            while True:
-                if choices:
-                    token, j = choices.pop()
-                    if j in dead:
-                        continue
-                    if state >= 0:
-                        key = state * size + token
-                        ok = table_.get(key)
-                        if ok is None:
-                            ok = table_[key] = self.has_arc(state, token, 1 << 60)
-                        if not ok:
-                            continue
-                    tokens.append(token)
-                    if j == n:
-                        return tokens
-                    begun.append(i)
-                    others.append(choices)
-                    i, state = j, token
-                    break
+            if forward:  # the longest label from here
+                node, k = three.get(word[i : i + 3], 0), i + 3
+                if not node:
+                    k = i
+                while k < n:
+                    below_ = below[node].get(word[k])
+                    if below_ is None:
+                        break
+                    node = below_
+                    k += 1
+                token = best[node]
+            while token >= 0:
+                j = i + lengths[token]
+                if j not in dead:
+                    if state < 0:
+                        break
+                    key = state * size + token
+                    ok = table_.get(key)
+                    if ok is None:
+                        ok = table_[key] = self.has_arc(state, token, 1 << 60)
+                    if ok:
+                        break
+                token = shorter[token]
+            forward = token >= 0
+            if forward:
+                tokens.append(token)
+                if j == n:
+                    return tokens
+                i, state = j, token
+            else:
                 dead.add(i)
                 if not tokens:
                     raise ValueError("the vocabulary cannot spell this word")
-                tokens.pop()
-                i, choices = begun.pop(), others.pop()
+                token = tokens.pop()
+                i -= lengths[token]
                 state = tokens[-1] if tokens else -1
+                token = shorter[token]
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs, put together; what is no UTF-8 becomes U+FFFD."""
@@ -202,7 +225,10 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         if len(self.automaton.table) >= 2 * REMEMBERED:
             self.automaton.table.clear()
-        return b"".join([i.to_bytes(4, "little") for i in self.automaton.path(word.encode("utf-8", "replace"))])
+        ids = array("I", self.automaton.path(word.encode("utf-8", "replace")))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _after_space(self, unit: str) -> bytes:
         """Of a space and what follows it up to the next white space."""
