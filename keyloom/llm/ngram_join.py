@@ -36,7 +36,7 @@ PIVOTS, ROUNDS = 3, 6
 #: Columns with so many entries count as frequent, and at most so many are told to the tasks (16 MB). They only set the order
 #: of the columns: with more or fewer, the result is the same.
 FREQUENT, MOST_FREQUENT = 8, 1_000_000
-WINDOW_ENTRIES, BLOCK_ENTRIES, FLUSH_ENTRIES = 4_000_000, 1_000_000, 1_000_000
+WINDOW_ENTRIES, BLOCK_ENTRIES, FLUSH_ENTRIES = 2_000_000, 750_000, 500_000
 #: The filter of the sets to be compared in full has at most so many bits; a full one lets more through.
 MOST_FILTER_BITS = 1 << 24
 
