@@ -239,14 +239,14 @@ def _multiply(block: pd.DataFrame) -> pd.DataFrame:
     code, overlap = np.unique(np.concatenate(codes), return_counts=True)
     name = lambda ids: [sigs[i].tobytes() for i in ids]
     a, b = code // len(sigs), code % len(sigs)
-    parts = [pd.DataFrame({"a": name(a), "b": name(b), "na": size_of[a], "nb": size_of[b], "overlap": overlap, "run": None})]
+    parts = [pd.DataFrame({"a": name(a), "b": name(b), "na": size_of[a], "nb": size_of[b], "overlap": overlap, "run": None, "col": None})]
     runs = {}
     for at, size in zip(cuts[sizes > SMALL_RUN], sizes[sizes > SMALL_RUN], strict=True):
         runs.setdefault(node[at : at + size].tobytes(), slice(at, at + size))
     for key, at in runs.items():
         run, members = hashlib.blake2b(b"".join(name(node[at])), digest_size=16).digest(), name(node[at])
-        parts.append(pd.DataFrame({"a": members, "b": members[0], "na": n[at], "nb": place[at], "overlap": None, "run": run}))
-    return pd.concat([x.astype({"overlap": "Int64", "run": object}) for x in parts])
+        parts.append(pd.DataFrame({"a": members, "b": members[0], "na": n[at], "nb": place[at], "overlap": None, "run": run, "col": e["hash"][at].view(np.int64)}))
+    return pd.concat([x.astype({"overlap": "Int64", "run": object, "col": "Int64"}) for x in parts])
 
 
 def _together(group: pd.DataFrame) -> pd.DataFrame:
@@ -397,12 +397,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     n_blocks = max(1, min(entries // (3 * BLOCK_ENTRIES), FLUSH_ENTRIES // 4))
     dealt = rows.mapInArrow(_entries(shared, bits, n_blocks), "block int, entries binary").groupBy("block")
-    product = cut(dealt.applyInPandas(_multiply, "a binary, b binary, na long, nb long, overlap long, run binary"))
+    product = cut(dealt.applyInPandas(_multiply, "a binary, b binary, na long, nb long, overlap long, run binary, col long"))
     pairs = product.filter("run is null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("overlap").alias("overlap"))
     kept = lambda n: n - F.floor((LINK[0] * n + LINK[1] - 1) / LINK[1]) + 1
     rest = F.greatest(F.col("na") - kept(F.col("na")), F.col("nb") - kept(F.col("nb")))  # beyond the entries that were dealt
     pairs = cut(pairs.filter((LINK[0] + LINK[1]) * (F.col("overlap") + rest) >= LINK[0] * (F.col("na") + F.col("nb"))).select("a", "b"))
-    members = product.filter("run is not null").groupBy("run", "a").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("b").alias("b"))
+    # blocks may have columns with the same classes: all classes of a run take their places in the least of these columns
+    members = product.filter("run is not null").groupBy("run", "a").agg(F.min(F.struct("col", "na", "nb", "b")).alias("m")).select("run", "a", "m.na", "m.nb", "m.b")
 
     near = components(pairs.unionByName(members.select("a", "b")))
     near = cut(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()))

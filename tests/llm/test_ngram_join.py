@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.llm import ngram_join
 from keyloom.llm.components import components
@@ -75,6 +76,24 @@ def test_large_families_and_frequent_columns(spark, monkeypatch, task_sets):
     check(df, list(enumerate(texts)), task_sets=task_sets)
 
 
+def test_places_of_a_run_are_those_of_one_column(spark, monkeypatch):
+    """Near copies that link only through columns of the same classes in two blocks, whose rows meet in any order."""
+    rng = random.Random(12)
+    families = []
+    while len(families) < 2:
+        t = " ".join(f"w{rng.randrange(10_000)}" for _ in range(23))
+        first = (ngram_join.shingles(t)[:5] % 2).tolist()  # the block of each column that is dealt, in order
+        if len(set(first[:3])) == 1 and len(set(first)) == 2:  # one block's first column is three places after the other's
+            families.append(t)
+    texts = [f"{t} end{k}" for t in families for k in range(ngram_join.SMALL_RUN + 2)]
+    monkeypatch.setattr(ngram_join, "BLOCK_ENTRIES", len(texts) * 20 // 6)  # two blocks
+    cut = ngram_join.cut
+    mixed = lambda df: df.repartition(1).sortWithinPartitions(F.xxhash64("a", "nb")) if "run" in df.columns and "overlap" in df.columns else df
+    monkeypatch.setattr(ngram_join, "cut", lambda df: cut(mixed(df)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    check(df, list(enumerate(texts)), task_sets=3)
+
+
 def test_order_of_columns_does_not_matter(docs, rows, monkeypatch):
     monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 0)
     check(docs, [(i, t) for i, t, *_ in rows])
