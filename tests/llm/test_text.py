@@ -215,6 +215,20 @@ def test_boilerplate_of_a_host(spark, monkeypatch):
     assert set(parts) == set(out) and all(parts[i] == out[i] for i in range(6, 12))
 
 
+def test_parts_of_a_host_give_what_the_whole_host_gives(spark, monkeypatch):
+    rng = random.Random(17)
+    text = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    legal, quote = text(25), text(25)
+    html = [f"<body><p>{legal}</p><p>{text(40)}</p>" for _ in range(3)] + [f"<body><article><p>{legal}</p><p>{quote}</p><p>{text(40)}</p></article>" for _ in range(9)] + ["<p>a", ""]
+    rows = [(i, "http://site.example/p", h) for i, h in enumerate(html + html[:4])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = lambda: {r["page_id"]: (r["text"], r["repeated_words"]) for r in html_text.extract_text(df).collect()}
+    whole = found()
+    assert not any(legal in t for t, _ in whole.values()) and sum(quote in t for t, _ in whole.values()) == 10
+    monkeypatch.setattr(html_text, "PART_PAGES", 2)
+    assert found() == whole
+
+
 def test_html_edges(spark):
     schema = "page_id long, url string, html string, host string, part int, blocks int, text string"
     rows = [(1, None, "<p>a", "h", 1, 1, "t"), (1, None, "<p>a", "h", 1, 1, "t"), (None, "x", "<article>" + "word " * 100_000, None, None, None, None)]
