@@ -25,9 +25,41 @@ TEMPLATES = {
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "ISC text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "BSD-2-Clause": "Released under the BSD 2-Clause License.",
+    "BSD-3-Clause": "Released under the BSD 3-Clause License.",
+    "BSD-2-Clause text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES',
+    "BSD-3-Clause text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES',
+    "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
+    "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "ISC": "Released under the ISC License.",
+    "CC0-1.0": "Licensed under CC0 1.0 Universal.",
+    "Unlicense": "Released under the Unlicense.",
+    "Unlicense text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-3.0": "Licensed under CC BY 3.0.",
+    "CC-BY-SA-3.0": "Licensed under CC BY-SA 3.0.",
+    "CC-BY-NC-3.0": "Licensed under CC BY-NC 3.0.",
+    "CC-BY-ND-3.0": "Licensed under CC BY-ND 3.0.",
+    "CC-BY-NC-SA-3.0": "Licensed under CC BY-NC-SA 3.0.",
+    "CC-BY-NC-ND-3.0": "Licensed under CC BY-NC-ND 3.0.",
 }
 #: Share of a template's words to be aligned, within a stretch of text of at most so many times its words.
 COVERAGE, STRETCH = 0.8, 2
+#: Words that tell licenses and versions apart: where a template first has them they must be aligned, whatever the coverage.
+#: Of whole numbers only versions count, not those of lists.
+TELLING = frozenset("apache mit gnu lesser library affero bsd clause mozilla isc cc cc0 nc sa nd unlicense unencumbered neither 1.0 1.1 2 2.0 2.1 2.5 3 3.0 4.0".split())
+#: Such words that, left over in the matched text, make it another license.
+OTHER = frozenset("lesser library affero nc sa nd neither".split())
 
 _word = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
@@ -96,6 +128,7 @@ class Template:
             raise ValueError(f"template {name} has no words")
         self.counts = Counter(self.words)
         self.least = max(1, -int(-coverage * len(self.words) // 1))
+        self.telling = {j for j, w in enumerate(self.words) if w in TELLING and w not in self.words[:j] and (not w.isdigit() or self.words[j - 1] in ("version", "bsd"))}
         self.reach = stretch * len(self.words)
         # without any of these words too few are left: the longest ones, as the rarest
         self.signs, n = [], 0
@@ -105,6 +138,11 @@ class Template:
             self.signs.append(w)
             n += self.counts[w]
 
+    def told(self, stretch: list[str], pairs: list[tuple[int, int]]) -> bool:
+        """Whether the words that tell licenses apart are aligned, and none is left over in the text between."""
+        used = {i for i, _ in pairs}
+        return self.telling <= {j for _, j in pairs} and not any(w in OTHER and i not in used for i, w in enumerate(stretch[: pairs[-1][0]]))
+
     def find(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
         """First and last word and number of aligned words of each place where enough of the template is aligned, without overlap."""
         hits = [i for i, w in enumerate(words) if w in self.counts]
@@ -120,7 +158,7 @@ class Template:
             if possible >= self.least:
                 first = hits[begin]
                 pairs = align(words[first : first + self.reach], self.words)
-                if len(pairs) >= self.least and pairs[0][0] == 0:
+                if len(pairs) >= self.least and pairs[0][0] == 0 and self.told(words[first : first + self.reach], pairs):
                     last = first + pairs[-1][0]
                     yield first, last, len(pairs)
                     step = sum(1 for h in hits[begin:end] if h <= last)
@@ -155,7 +193,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of docs: doc_id and licenses (name, start and end in code points, coverage), by start.
 
     A license is found where patience alignment matches at least `coverage` of a template's words, in order, within
-    `stretch` times as many words of the text; case and punctuation do not count. Every such place of the whole text counts;
+    `stretch` times as many words of the text, the TELLING words among them and no OTHER left over; case and punctuation do not count. Every such place of the whole text counts;
     where templates overlap, the best covered stays, then the one with most words aligned, then the first by name. Null and empty texts have
     none; repeated rows are treated alike; other columns are ignored; an empty table gives an empty result.
     """

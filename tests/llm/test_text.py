@@ -150,6 +150,20 @@ def test_licenses(spark, nothing, clashing):
         licenses.scan_licenses(nothing, templates={"x": " . "})
 
 
+def test_licenses_are_told_apart():
+    compiled = [licenses.Template(n, t, licenses.COVERAGE, licenses.STRETCH) for n, t in licenses.TEMPLATES.items()]
+    names = lambda t: [x[0] for x in licenses.scan(t, compiled)]
+    for name, t in licenses.TEMPLATES.items():
+        assert names("so: " + t + " and on") == [name]
+    gnu = "This work is licensed under the GNU {}General Public License, version {}."
+    assert [names(gnu.format(k, v)) for k, v in (("", 2), ("", 3), ("Lesser ", 3), ("Affero ", 3), ("", 1))] == [["GPL-2.0"], ["GPL-3.0"], ["LGPL-3.0"], ["AGPL-3.0"], []]
+    bsd = licenses.TEMPLATES["BSD-3-Clause text"]
+    assert names(bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")) == ["BSD-3-Clause text"]
+    header = licenses.TEMPLATES["Apache-2.0 header"].replace("http://www.apache.org/licenses/LICENSE-2.0", "here")
+    assert len(list(next(t for t in compiled if t.name == "Apache-2.0 header").find(licenses.split_words(header)[0]))) == 1
+    assert names("Released under the XYZ License.") == [] and names("Licensed under CC BY-NC-SA 4.0.") == ["CC-BY-NC-SA-4.0"]
+
+
 # HTML
 
 
