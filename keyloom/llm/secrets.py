@@ -7,6 +7,7 @@ also split at its matches; the lengths of pieces and matches add up to the place
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,19 +25,23 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WIDTH = 20
 #: character class, expression for the whole candidate, bits a character from which a window counts. The first that fits holds.
 CLASSES = [
-    ("digits", r"^[0-9_=+/-]+$", 9.0),  # over log2(20): never
+    ("digits", r"^[0-9_=+/-]+$", 3.0),
     ("hex", r"^[0-9a-fA-F]+$", 3.0),
     ("mixed", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).*$", 3.8),
     ("lower", r"^(?=.*[0-9])(?=.*[a-z]).*$", 3.7),
     ("upper", r"^(?=.*[0-9])(?=.*[A-Z]).*$", 3.7),
+    ("letters", r"^[^0-9]+$", 4.0),  # random lower-case letters alone have about 3.7, as words have
 ]
-#: Candidates that fit one of these are no secrets: UUIDs, paths, spelled-out alphabets, documentation samples.
-ALLOWED = [
-    r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
-    r"^/?([A-Za-z_-]*[0-9]{0,4}/)+[A-Za-z_-]*[0-9]{0,4}$",
-    r"(?i)example|sample|dummy|placeholder",
-    r"(?i)abcdefghij|0123456789",
-]
+#: Candidates that fit one of these are no secrets: UUIDs. None may repeat a group, as Java's matcher recurses for each turn.
+ALLOWED = [r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"]
+#: Each part of a path between slashes.
+PATH_PART = r"^[A-Za-z_-]*[0-9]{0,4}$"
+#: What documentation puts where a key would stand, in either case. No window reaches over one of these.
+SAMPLES = ["placeholder", "abcdefghij", "0123456789", "example", "sample", "dummy"]
+#: The characters of candidates; a window's counts are eight bits each in whole numbers of 64 bits.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Windows that one pass over a piece of a candidate looks at.
+PIECE = 512
 UNIT = 1 << 20
 
 
@@ -88,31 +93,68 @@ def found(text: Column, expression: str, group: int = 0) -> Column:
 def entropy_windows(candidate: Column, limit: Column) -> Column:
     """Merged runs of windows of WIDTH characters whose n log2 n sum is at most limit: start and end in the candidate.
 
-    The counts change by the character that enters and the one that leaves, and the sum with them.
+    The counts change by the character that enters and the one that leaves, and the sum with them. A long candidate is
+    passed in pieces that overlap by a window less one character, so that the work grows with its length alone.
     """
-    table_ = F.array(*[F.lit(_scaled(n)).cast("long") for n in range(WIDTH + 2)])
-    f = lambda n: F.get(table_, n)
-    start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"),
+    sums = F.array(*[F.lit(_scaled(n)).cast("long") for n in range(WIDTH + 2)])
+    slots = F.array(*[F.lit(max(ALPHABET.find(chr(c)), 0)) for c in range(128)])
+    f = lambda n: F.get(sums, n)
+    word = lambda slot: F.shiftright(slot, 3)
+    bits = lambda slot: F.shiftleft(slot.bitwiseAND(7), 3)
+    one = lambda slot: F.call_function("shiftleft", F.lit(1).cast("long"), bits(slot))
+    count = lambda counts, slot: F.call_function("shiftright", F.get(counts, word(slot)), bits(slot)).bitwiseAND(255).cast("int")
+    run = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+    runs_of = "array<struct<start:int,end:int>>"
+    none = F.struct(
+        F.array_repeat(F.lit(0).cast("long"), (len(ALPHABET) + 7) // 8).alias("counts"),
         F.lit(0).cast("long").alias("sum"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("runs"),
+        run(F.lit(-1), F.lit(-1)).alias("open"),
+        F.array().cast(runs_of).alias("done"),
     )
 
-    def step(s: Column, i: Column) -> Column:
-        enters = F.ascii(F.substring(candidate, i, F.lit(1)))
-        leaves = F.when(i > WIDTH, F.ascii(F.substring(candidate, i - WIDTH, F.lit(1)))).otherwise(F.lit(-1))
-        more = F.get(s["counts"], enters)
-        grown = s["sum"] + f(more + 1) - f(more)
-        less = F.get(s["counts"], leaves) + F.when(leaves == enters, 1).otherwise(0)
-        total = F.when(i > WIDTH, grown - f(less) + f(less - 1)).otherwise(grown)
-        counts = F.transform(s["counts"], lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0))
-        last = F.get(s["runs"], F.size(s["runs"]) - 1)
-        run = lambda a: F.array(F.struct(a.cast("int").alias("start"), i.cast("int").alias("end")))
-        joins = (F.size(s["runs"]) > 0) & (last["end"] >= i - WIDTH)
-        runs = F.when((i < WIDTH) | (total > limit), s["runs"]).when(joins, F.concat(F.slice(s["runs"], F.lit(1), F.size(s["runs"]) - 1), run(last["start"]))).otherwise(F.concat(s["runs"], run(i - WIDTH)))
-        return F.struct(counts.alias("counts"), total.alias("sum"), runs.alias("runs"))
+    def step(s: Column, x: Column) -> Column:
+        enters, leaves, end = x["enters"], x["leaves"], x["end"]
+        more = count(s["counts"], enters)
+        less = count(s["counts"], leaves) + F.when(leaves == enters, 1).otherwise(0)
+        total = s["sum"] + f(more + 1) - f(more) + F.coalesce(f(less - 1) - f(less), F.lit(0).cast("long"))
+        counts = F.transform(s["counts"], lambda c, k: c + F.when(k == word(enters), one(enters)).otherwise(0) - F.when(k == word(leaves), one(leaves)).otherwise(0))
+        counts_in = (end >= WIDTH) & (total <= limit)
+        joins = s["open"]["end"] >= end - WIDTH
+        return F.struct(
+            counts.alias("counts"),
+            total.alias("sum"),
+            F.when(~counts_in, s["open"]).when(joins, run(s["open"]["start"], end)).otherwise(run(end - WIDTH, end)).alias("open"),
+            F.when(counts_in & ~joins, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"),
+        )
+
+    def of_piece(piece: Column, begin: Column) -> Column:
+        steps = F.transform(piece, lambda slot, i: F.struct(slot.alias("enters"), F.get(piece, i - WIDTH).alias("leaves"), (i + 1).alias("end")))
+        runs = let(F.aggregate(steps, none, step), lambda s: F.filter(F.concat(s["done"], F.array(s["open"])), lambda r: r["start"] >= 0))
+        return F.transform(runs, lambda r: run(begin + r["start"], begin + r["end"]))
+
+    def merged(runs: Column) -> Column:
+        heads = F.filter(runs, lambda r, i: (i == 0) | (r["start"] > F.get(runs, i - 1)["end"]))
+        tails = F.filter(runs, lambda r, i: (i == F.size(runs) - 1) | (F.get(runs, i + 1)["start"] > r["end"]))
+        return F.zip_with(heads, tails, lambda a, b: run(a["start"], b["end"]))
+
+    def of(codes: Column) -> Column:
+        begins = F.sequence(F.lit(0), F.size(codes) - WIDTH, F.lit(PIECE))
+        return let(F.flatten(F.transform(begins, lambda b: let(F.slice(codes, b + 1, PIECE + WIDTH - 1), lambda piece: of_piece(piece, b)))), merged)
+
+    codes = F.transform(F.split(candidate, ""), lambda c: F.get(slots, F.ascii(c)))
+    return F.when(F.char_length(candidate) < WIDTH, F.array().cast(runs_of)).otherwise(let(codes, of))
+
+
+def is_path(candidate: Column) -> Column:
+    """Whether slashes part a candidate into names, each with at most four digits at its end."""
+    return F.contains(candidate, F.lit("/")) & F.forall(F.split(candidate, "/"), lambda part: part.rlike(PATH_PART))
+
 
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), start, step)["runs"]
+def without_samples(text: Column, samples: Sequence[str]) -> Column:
+    """text with blanks in the place of each sample, so that all places stay."""
+    for sample in samples:
+        text = F.regexp_replace(text, "(?i)" + re.escape(sample), " " * len(sample))
+    return text
 
 
 def class_limit(candidate: Column, classes: Sequence[tuple[str, str, float]] = CLASSES) -> Column:
@@ -122,14 +164,15 @@ def class_limit(candidate: Column, classes: Sequence[tuple[str, str, float]] = C
     return limit
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: Sequence[str] = ALLOWED, keep: Sequence[str] = ()) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: Sequence[str] = ALLOWED, samples: Sequence[str] = SAMPLES, keep: Sequence[str] = ()) -> DataFrame:
     """One row per row of docs: doc_id, the struct keep of the columns listed in keep, and found: kind, start and end of each
     span, in order.
 
     Spans count code points, end exclusive, and go by start, then kind (assign, access, hex, entropy). Matches of the known
     shapes always stay. Spans of kind entropy are the merged windows of a long unbroken string whose entropy reaches the
-    bits asked for by the string's character class, unless the string fits one of allowed. Null and empty texts have no
-    spans; repeated rows get the same spans; an empty table gives an empty result. Texts are read whole. Other columns
+    bits asked for by the string's character class, unless the string is a path or fits one of allowed. Strings end at
+    the words of samples (ASCII, in either case). Null and empty texts have no spans; repeated rows get the same spans; an
+    empty table gives an empty result. Texts are read whole, in time that grows with their length alone. Other columns
     are ignored unless listed in keep.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -144,13 +187,15 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         base = base.withColumn(name, F.coalesce(spans, none))
         arrays.append(F.col(name))
 
-    likely = found(F.col("text"), CANDIDATE)
-    plain = lambda x: x["match"].rlike("[0-9]") & ~x["match"].rlike("|".join(f"(?:{a})" for a in allowed)) if allowed else x["match"].rlike("[0-9]")
+    # strings that reach over a sample are rare: only these texts are looked through again
+    long_strings = F.when(F.col("text").rlike(CANDIDATE), without_samples(F.col("text"), samples))
+    base = base.withColumn("likely", found(long_strings, CANDIDATE))
+    suits = lambda x: ~is_path(x["match"]) & (~x["match"].rlike("|".join(f"(?:{a})" for a in allowed)) if allowed else F.lit(True))
     windows = lambda x: F.transform(
         let(class_limit(x["match"]), lambda limit: F.when(limit >= 0, entropy_windows(x["match"], limit)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))),
         lambda r: F.struct((x["start"] + r["start"]).alias("start"), F.lit(len(KINDS)).alias("kind"), (x["start"] + r["end"]).alias("end")),
     )
-    base = base.withColumn("entropy", F.coalesce(F.flatten(F.transform(F.filter(likely, plain), windows)), none))
+    base = base.withColumn("entropy", F.coalesce(F.flatten(F.transform(F.filter("likely", suits), windows)), none))
     names = F.array(*[F.lit(k[0]) for k in KINDS], F.lit("entropy"))
     spans = F.transform(F.sort_array(F.concat(*arrays, F.col("entropy"))), lambda x: F.struct(F.get(names, x["kind"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return base.select("doc_id", "keep", spans.alias("found"))

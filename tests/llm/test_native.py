@@ -176,13 +176,13 @@ def plain_base(t):
 
 def plain_entropy(t):
     out = []
-    for m in re.finditer(secrets.CANDIDATE, t):
+    masked = re.sub("(?ai:" + "|".join(secrets.SAMPLES) + ")", lambda m: " " * len(m.group()), t)
+    for m in re.finditer(secrets.CANDIDATE, masked):
         s = m.group()
-        if not re.search("[0-9]", s) or any(re.search(a, s) for a in secrets.ALLOWED):
-            continue
-        bits = next((b for _, rule, b in secrets.CLASSES if re.search(rule, s)), None)
-        if bits is None or secrets.most_sum(bits) < 0:
+        path = "/" in s and all(re.search(secrets.PATH_PART, x) for x in s.split("/"))
+        if path or any(re.search(a, s) for a in secrets.ALLOWED):
             continue
+        bits = next(b for _, rule, b in secrets.CLASSES if re.search(rule, s))
         runs = []
         for i in range(len(s) - secrets.WIDTH + 1):
             if sum(secrets._scaled(c) for c in Counter(s[i : i + secrets.WIDTH]).values()) <= secrets.most_sum(bits):
@@ -210,5 +210,26 @@ def test_secrets(spark, nothing):
     assert secrets.scan_secrets(nothing).count() == 0
 
 
+def test_secrets_in_very_long_texts(spark):
+    """Long paths, long strings and many short ones, in time that grows with the text."""
+    rng = random.Random(9)
+    base64 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=20_000))
+    some = "".join(rng.choices("abcdefgh0123", k=3000)) + "-" * 700 + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz012345", k=3000))
+    texts = ["a1/" * 2000, "a1/" * 1_000_000, base64, some, "x-" + base64[:600] + " " + base64[600:5000] + "EXAMPLE" + base64[:50], "ghp" + "aB3dE6gH9jK2mN5pQ8sT " * 20_000, base64 * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = by_id(secrets.scan_secrets(df))
+    for i, t in enumerate(texts[:-1]):
+        assert [tuple(x) for x in out[i]["found"]] == plain_base(t) + plain_entropy(t), i
+    assert [(x["start"], x["end"]) for x in out[6]["found"]][0][0] == 0 and out[6]["found"][-1]["end"] == 1_000_000
+
+
+def test_secrets_of_letters_and_digits(spark):
+    texts = ["key QwErTyUiOpAsDfGhJkLz", "pi 31415926535897932384626433832795", "a-long-row-of-plain-words-with-hyphens", "=" * 80, "mysampleQwErTyUiOpAsDfGhJkLzsampleQwErTy"]
+    out = by_id(secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [[(x["kind"], x["start"], x["end"]) for x in out[i]["found"] if x["kind"] == "entropy"] for i in range(5)] == [plain_entropy(t) for t in texts]
+    assert out[0]["found"] and any(x["kind"] == "entropy" for x in out[1]["found"]) and not out[2]["found"] and not out[3]["found"]
+    assert [(x["start"], x["end"]) for x in out[4]["found"]] == [(8, 28)]
+
+
 def test_secrets_edges(clashing):
     assert secrets.scan_secrets(clashing, keep=clashing.columns).count() == 45
