@@ -1,97 +1,12 @@
-"""BPE, license scans, HTML extraction and the classifier."""
+"""License scans and the classifier."""
 
 import random
-from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import bpe, html_text, licenses, quality_cnn
-
-tokenizers = pytest.importorskip("tokenizers")
-pytest.importorskip("public_tokenizers")
-
-# BPE
-
-
-@pytest.fixture(scope="module")
-def pair():
-    path = bpe.vocabulary()
-    with open(path, encoding="utf-8") as f:
-        return bpe.Encoder(bpe.Automaton(f.read())), tokenizers.Tokenizer.from_file(path)
-
-
-def ids(encoder, text):
-    return np.frombuffer(encoder.encode(text), "<u4").tolist()
-
-
-def test_bpe_equals_the_library(pair):
-    encoder, library = pair
-    rng = random.Random(1)
-    kinds = [
-        lambda: "".join(rng.choice("abehitn rsou'") for _ in range(rng.randint(0, 24))),
-        lambda: "".join(rng.choice("a!=-*_ .\n\t") for _ in range(rng.randint(0, 40))),
-        lambda: "".join(chr(rng.choice([rng.randint(32, 126), rng.randint(0xA0, 0x24F), rng.randint(0x4E00, 0x4FFF), 10, 9, 0x3000, 0x1F600, 0x85, 0x1C])) for _ in range(rng.randint(0, 20))),
-        lambda: rng.choice(["<|endoftext|>", "a"]) * rng.randint(0, 30) + "the <|endoftext|>" + " " * rng.randint(0, 9) + "x",
-    ]
-    for _ in range(6000):
-        t = rng.choice(kinds)()
-        want = library.encode(t, add_special_tokens=False).ids
-        assert ids(encoder, t) == want, t
-        assert encoder.automaton.decode(encoder.encode(t)) == library.decode(want, skip_special_tokens=False)
-
-
-def test_bpe_splits_as_the_library_at_every_code_point(pair):
-    encoder, library = pair
-    chars = [chr(c) for c in [*range(0x3000), *range(0xA000, 0xD800), *range(0xF900, 0x20000), *range(0x2A6D0, 0x2B900, 7), 0x33479, 0x3FC3F]]
-    for k in range(0, len(chars), 24):
-        t = "".join(f"a{c}1{c}{c}! {c}x" for c in chars[k : k + 24])
-        assert ids(encoder, t) == library.encode(t, add_special_tokens=False).ids, hex(ord(chars[k]))
-
-
-def test_bpe_long_texts(pair, monkeypatch):
-    encoder, library = pair
-    monkeypatch.setattr(bpe, "PIECE", 1000)
-    t = "some words,  and\n\nmore " * 400
-    assert ids(encoder, t) == library.encode(t, add_special_tokens=False).ids
-    assert len(ids(encoder, "a" * 20_000)) == len(library.encode("a" * 20_000, add_special_tokens=False).ids)
-
-
-def test_automaton_of_small_merges():
-    """Every sequence of tokens that the automaton accepts is BPE's own, and no other: all words over a small alphabet."""
-    letters = "abc"
-    merges = [("a", "b"), ("a", "a"), ("aa", "a"), ("b", "c"), ("ab", "c"), ("c", "c"), ("aa", "aa"), ("bc", "ab")]
-    vocab = {t: i for i, t in enumerate([*letters, *dict.fromkeys(x + y for x, y in merges)])}
-    import itertools
-    import json
-
-    a = bpe.Automaton(json.dumps({"model": {"vocab": vocab, "merges": [f"{x} {y}" for x, y in merges]}}))
-    rank = {m: k for k, m in enumerate(merges)}
-    for n in range(1, 8):
-        for word in itertools.product(letters, repeat=n):
-            t = list(word)
-            while pairs := [(rank[p], i) for i, p in enumerate(zip(t, t[1:])) if p in rank]:
-                _, i = min(pairs)
-                t[i : i + 2] = [t[i] + t[i + 1]]
-            assert a.path("".join(word).encode()) == [vocab[x] for x in t], word
-
-
-def test_bpe_frames(docs, rows, nothing, clashing):
-    path = bpe.vocabulary()
-    library = tokenizers.Tokenizer.from_file(path)
-    one = bpe.decode(bpe.encode(docs, path), path).select("doc_id", "ids", "decoded", bpe.ids_array(F.col("ids")).alias("a")).collect()
-    two = {r["doc_id"]: r for r in bpe.encode_decode(docs, path).collect()}
-    assert len(one) == len(rows)
-    for r in one:
-        t = rows[r["doc_id"]][1] or ""
-        assert r["a"] == library.encode(t, add_special_tokens=False).ids and r["decoded"] == t
-        assert two[r["doc_id"]]["ids"] == r["ids"] and two[r["doc_id"]]["decoded"] == t
-    assert bpe.encode(nothing, path).count() == 0
-    with pytest.raises(ValueError):
-        bpe.encode(clashing, path)
-    assert bpe.encode(clashing, path, ids_col="tokens").count() == 45
-
+from keyloom.llm import licenses, quality_cnn
 
 # licenses
 
@@ -164,93 +79,6 @@ def test_licenses_are_told_apart():
     assert names("Released under the XYZ License.") == [] and names("Licensed under CC BY-NC-SA 4.0.") == ["CC-BY-NC-SA-4.0"]
 
 
-# HTML
-
-
-def page(body, head="<title>T</title><script>var t='</p><article>x</article>';</script>"):
-    return f"<!DOCTYPE html><html><head>{head}</head><body>{body}"
-
-
-MENU = "<nav><ul><li><a href='/a'>Home</a><li><a>About</a></ul></nav>"
-CASES = [
-    (page(MENU + "<article><h1>A &amp; B</h1><p>One\n  two<b>three<br>four<p>five</article><footer>&copy; x</footer></body></html>"), "A & B\nOne twothree\nfour\nfive"),
-    (page('<header>Site</header><div class="ad">Buy<article><header><h1>Title</h1></header><p>Text</p><aside>see</aside><form>f<input></form><div class="comments"><p>me too</p></div></article>'), "Title\nText"),
-    (page("<div class='page-header'><h1>Site</h1></div><article><div class='entry-header'><h1>T</h1></div><div class='alert'>!</div><p>x</article>"), "T\nx"),
-    (page("<main><p>a<!-- b --><style>c</style>d</p><div id='cookie-notice'>e</div><p hidden>f</p></main><p>outside</p>"), "ad"),
-    (page("<div class='sidebar'>s</div><p>no article &lt;here&gt;</p><noscript>n</noscript>"), "no article <here>"),
-    (page("<article><p>1 < 2 and <i>3</i></p></section></div><p>end"), "1 < 2 and 3\nend"),
-    ("<article><p class='ad-free'>kept? no", ""),
-    ("plain text\n only", "plain text only"),
-    ("<article><textarea>x</textarea><table><tr><td>a<td>b</table><select><option>o</select></article>", "a\nb"),
-    ("", ""),
-    (None, ""),
-    ("<<<>>><a", "<<<>>><a"),
-]
-
-
-def test_html_cases(spark):
-    df = spark.createDataFrame([(i, f"http://h{i}.example/x", h) for i, (h, _) in enumerate(CASES)], "page_id long, url string, html string")
-    out = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
-    assert out == {i: t for i, (_, t) in enumerate(CASES)}
-
-
-def test_repeated_runs_against_plain_search():
-    rng = random.Random(6)
-    run = html_text.RUN_TOKENS
-    chrome = [rng.randrange(50) for _ in range(30)]
-    streams = []
-    for _ in range(25):
-        s = [rng.randrange(5 if rng.random() < 0.3 else 1000) for _ in range(rng.randint(0, 60))]
-        if rng.random() < 0.5:
-            k = rng.randint(0, 10)
-            s[len(s) // 2 : len(s) // 2] = chrome[k : k + rng.randint(10, 30)]
-        streams.append(np.array(s, np.int64))
-    seen = Counter(w for s in streams for w in {tuple(s[i : i + run]) for i in range(len(s) - run + 1)})
-    for s, got in zip(streams, html_text.repeated(streams), strict=True):
-        assert got.tolist() == [seen[tuple(s[i : i + run])] if i + run <= len(s) else 1 for i in range(len(s))]
-    assert html_text.repeated([]) == [] and len(html_text.repeated([np.zeros(0, np.int64)])[0]) == 0
-
-
-def test_boilerplate_of_a_host(spark, monkeypatch):
-    """Unmarked boilerplate goes; what only articles share stays, also on pages with an article."""
-    rng = random.Random(7)
-    text = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
-    legal, quote = text(25), text(25)
-    own = [text(40) for _ in range(12)]
-    html = [f"<body><p>{legal}</p><p>{t}</p>" for t in own[:6]] + [f"<body><article><p>{quote}</p><p>{t}</p></article><p>{legal}</p>" for t in own[6:]]
-    rows = [(i, "http://site.example/p", h) for i, h in enumerate(html)] + [(100 + i, "http://copies.example", html[0]) for i in range(5)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    out = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
-    assert [out[i] for i in range(6)] == own[:6]
-    assert [out[i] for i in range(6, 12)] == [f"{quote}\n{t}" for t in own[6:]]
-    assert {out[100 + i] for i in range(5)} == {f"{legal}\n{own[0]}"}  # copies of one page are one page
-    monkeypatch.setattr(html_text, "PART_PAGES", 6)
-    parts = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
-    assert set(parts) == set(out) and all(parts[i] == out[i] for i in range(6, 12))
-
-
-def test_parts_of_a_host_give_what_the_whole_host_gives(spark, monkeypatch):
-    rng = random.Random(17)
-    text = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
-    legal, quote = text(25), text(25)
-    html = [f"<body><p>{legal}</p><p>{text(40)}</p>" for _ in range(3)] + [f"<body><article><p>{legal}</p><p>{quote}</p><p>{text(40)}</p></article>" for _ in range(9)] + ["<p>a", ""]
-    rows = [(i, "http://site.example/p", h) for i, h in enumerate(html + html[:4])]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    found = lambda: {r["page_id"]: (r["text"], r["repeated_words"]) for r in html_text.extract_text(df).collect()}
-    whole = found()
-    assert not any(legal in t for t, _ in whole.values()) and sum(quote in t for t, _ in whole.values()) == 10
-    monkeypatch.setattr(html_text, "PART_PAGES", 2)
-    assert found() == whole
-
-
-def test_html_edges(spark):
-    schema = "page_id long, url string, html string, host string, part int, blocks int, text string"
-    rows = [(1, None, "<p>a", "h", 1, 1, "t"), (1, None, "<p>a", "h", 1, 1, "t"), (None, "x", "<article>" + "word " * 100_000, None, None, None, None)]
-    out = html_text.extract_text(spark.createDataFrame(rows, schema)).collect()
-    assert sorted(len(r["text"]) for r in out) == [1, 1, 499_999]
-    assert html_text.extract_text(spark.createDataFrame([], schema)).count() == 0
-
-
 # classifier
 
 
