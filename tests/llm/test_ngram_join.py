@@ -2,12 +2,13 @@
 
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import ngram_join
+from keyloom.llm import hashing, ngram_join
 from keyloom.llm.components import components
 
 
@@ -63,17 +64,29 @@ def family(rng, words, n_families, size, length):
     return [" ".join(t) for t in texts]
 
 
-@pytest.mark.parametrize("task_sets", [ngram_join.TASK_SETS, 3])
-def test_large_families_and_frequent_columns(spark, monkeypatch, task_sets):
+SMALL = ngram_join.Sizes(small_run=8, frequent=3, window=500, flush=300, block=400)
+
+
+@pytest.mark.parametrize(
+    "sizes",
+    [
+        SMALL,
+        replace(SMALL, task_sets=3),
+        replace(SMALL, task_sets=3, hot=20, rounds=1, dense=0, one_step=2),  # hot columns spread, two steps, parted by next columns
+        replace(SMALL, task_sets=3, rounds=0, dense=1, levels=3, pivots=1, hot=12),
+        replace(SMALL, task_entries=50, rounds=0, most_frequent=5),
+    ],
+)
+def test_large_families_and_frequent_columns(spark, sizes):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(300)]
     texts = family(rng, words, 3, 40, 60)
     passage = " ".join(rng.choice(words) for _ in range(40))
     texts += [passage + " " + " ".join(rng.choice(words) for _ in range(rng.randint(2, 30))) for _ in range(60)]
-    for name, value in (("SMALL_RUN", 8), ("FREQUENT", 3), ("WINDOW_ENTRIES", 500), ("FLUSH_ENTRIES", 300), ("BLOCK_ENTRIES", 400)):
-        monkeypatch.setattr(ngram_join, name, value)
+    texts += [f"{rng.choice(words)} to our nice shop of fine {rng.choice(words[:3])}" for _ in range(40)]  # three or four shingles
+    texts += [f"one two three four five six{' seven' * (i % 2)}{' eight' * (i % 3)} w{i}" for i in range(30)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    check(df, list(enumerate(texts)), task_sets=task_sets)
+    check(df, list(enumerate(texts)), sizes=sizes)
 
 
 def test_places_of_a_run_are_those_of_one_column(spark, monkeypatch):
@@ -85,18 +98,49 @@ def test_places_of_a_run_are_those_of_one_column(spark, monkeypatch):
         first = (ngram_join.shingles(t)[:5] % 2).tolist()  # the block of each column that is dealt, in order
         if len(set(first[:3])) == 1 and len(set(first)) == 2:  # one block's first column is three places after the other's
             families.append(t)
-    texts = [f"{t} end{k}" for t in families for k in range(ngram_join.SMALL_RUN + 2)]
-    monkeypatch.setattr(ngram_join, "BLOCK_ENTRIES", len(texts) * 20 // 6)  # two blocks
+    sizes = ngram_join.Sizes(task_sets=3)
+    texts = [f"{t} end{k}" for t in families for k in range(sizes.small_run + 2)]
+    sizes = replace(sizes, block=len(texts) * 20 // 2)  # two blocks
     cut = ngram_join.cut
-    mixed = lambda df: df.repartition(1).sortWithinPartitions(F.xxhash64("a", "nb")) if "run" in df.columns and "overlap" in df.columns else df
+    mixed = lambda df: df.repartition(1).sortWithinPartitions(F.xxhash64("a", "place")) if "run" in df.columns and "overlap" in df.columns else df
     monkeypatch.setattr(ngram_join, "cut", lambda df: cut(mixed(df)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    check(df, list(enumerate(texts)), task_sets=3)
-
-
-def test_order_of_columns_does_not_matter(docs, rows, monkeypatch):
-    monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 0)
-    check(docs, [(i, t) for i, t, *_ in rows])
+    check(df, list(enumerate(texts)), sizes=sizes)
+
+
+@pytest.mark.parametrize("hot", [200, 1 << 40])
+def test_many_unlike_sets_of_one_column_make_few_pairs(spark, monkeypatch, hot):
+    """Sets that have three columns in common, of which one is dealt, and that link with one set alone."""
+    n = 20_000
+    texts = [f"w{i} to our nice little shop of things" for i in range(n)] + ["to our nice little shop of things"]
+    made = []
+    verified = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, sets: (made.append(pairs.count()), verified(pairs, sets))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = ngram_join.jaccard_components(df, sizes=ngram_join.Sizes(hot=hot, block=100_000, window=50_000, rounds=1)).collect()
+    assert {r["component_id"] for r in out} == {0}  # through the short one
+    assert sum(made) <= 5 * n
+
+
+def test_words_of_one_polynomial_stay_apart(spark):
+    """The Thue-Morse word and its complement agree in every polynomial hash modulo 2 ** 64."""
+    w = "a"
+    for _ in range(11):
+        w += w.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, w), (2, w.translate(str.maketrans("ab", "ba"))), (3, w)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_order_of_columns_does_not_matter(docs, rows):
+    check(docs, [(i, t) for i, t, *_ in rows], sizes=ngram_join.Sizes(most_frequent=0))
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    t = " \t\n".join("".join(rng.choices("abÉ\u2003z", k=rng.randint(1, 9))) for _ in range(500))
+    whole = hashing.word_hashes(t)
+    monkeypatch.setattr(hashing, "PIECE", 64)
+    assert np.array_equal(hashing.word_hashes(t), whole) and len(whole) == len(re.findall(r"[^\x20\x09-\x0D]+", t))
 
 
 def test_edges(spark, nothing, clashing):
