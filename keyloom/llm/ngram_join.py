@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import attach, cut, table
 from keyloom.llm.components import components
-from keyloom.llm.hashing import MULTIPLIERS, mixed, word_hashes
+from keyloom.llm.hashing import MULTIPLIERS, hashed_texts, mixed
 
 WORDS = 5
 #: Linked if LINK[1] * intersection >= LINK[0] * union.
@@ -63,17 +63,24 @@ class Sizes:
     filter_bits: int = 1 << 24
 
 
+def shingle_sets(texts: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
+    """The distinct n-word shingles of each text as sorted 64-bit hashes; of fewer words the one whole sequence."""
+    for w, bounds in hashed_texts(texts):
+        h = np.zeros(max(len(w) - n + 1, 0), np.uint64)
+        for k in range(n if len(h) else 0):
+            h += w[k : k + len(h)] * MULTIPLIERS[k]
+        h = mixed(h + np.uint64(n))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b - a >= n:
+                yield np.unique(h[a : b - n + 1])
+            elif b > a:
+                yield mixed((w[a:b] * MULTIPLIERS[: b - a]).sum(keepdims=True) + np.uint64(b - a))
+            else:
+                yield w[:0]
+
+
 def shingles(text: str, n: int = WORDS) -> np.ndarray:
-    """The distinct n-word shingles of a text as sorted 64-bit hashes; of fewer words the one whole sequence."""
-    w = word_hashes(text)
-    if not len(w):
-        return w
-    if len(w) < n:
-        return mixed((w * MULTIPLIERS[: len(w)]).sum(keepdims=True) + np.uint64(len(w)))
-    h = w[: len(w) - n + 1] * MULTIPLIERS[0]
-    for k in range(1, n):
-        h = h + w[k : len(w) - n + 1 + k] * MULTIPLIERS[k]
-    return np.unique(mixed(h + np.uint64(n)))
+    return next(shingle_sets(pa.array([text.encode("utf-8", "surrogatepass")], pa.binary()), n))
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -83,9 +90,7 @@ def signature(s: np.ndarray) -> bytes:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray]]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for i in range(batch.num_rows):
-            yield ids[i].as_py(), shingles(texts[i].as_py() or "")
+        yield from zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True)
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,8 +500,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     to, the row's own included; null ids count as greater than others. Repeated rows are texts with equal sets. Other
     columns are ignored; an empty table gives an empty result.
 
-    sizes changes how the work is dealt out, not the result. Sets are compared by 64-bit hashes of shingles, made of 64 bits of
-    BLAKE2b of each word; classes of equal sets go by 128-bit signatures.
+    sizes changes how the work is dealt out, not the result. Sets are compared by 64-bit hashes of shingles, made of 64-bit hashes
+    of words; classes of equal sets go by 128-bit signatures.
     """
     spark = docs.sparkSession
     context = spark.sparkContext

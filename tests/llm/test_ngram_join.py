@@ -5,6 +5,7 @@ import re
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,12 +136,25 @@ def test_order_of_columns_does_not_matter(docs, rows):
     check(docs, [(i, t) for i, t, *_ in rows], sizes=ngram_join.Sizes(most_frequent=0))
 
 
-def test_long_texts_in_pieces(monkeypatch):
+def test_words_of_many_texts_at_once(monkeypatch):
+    """Equal words have equal hashes and others do not, wherever texts and pieces begin; null and blank texts have none."""
     rng = random.Random(3)
-    t = " \t\n".join("".join(rng.choices("abÉ\u2003z", k=rng.randint(1, 9))) for _ in range(500))
-    whole = hashing.word_hashes(t)
-    monkeypatch.setattr(hashing, "PIECE", 64)
-    assert np.array_equal(hashing.word_hashes(t), whole) and len(whole) == len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    word = lambda: "".join(rng.choices("abÉ\u2003\u0000z", k=rng.choice([1, 1, 2, 7, 8, 9, 15, 16, 17, 40, 64, 65, 90])))
+    texts = ["".join(rng.choice([" ", "\t", "\n\x0b\x0c\r", " "]) + word() for _ in range(rng.randint(0, 30))).strip(rng.choice(["", " \t"])) for _ in range(60)] + ["", " ", "a" * 500, "ab", "AB"]
+    rule = re.compile(r"[^\x20\x09-\x0D]+")
+    of = {}
+    for piece in (64, 4_000_000):
+        monkeypatch.setattr(hashing, "PIECE", piece)
+        for lower in (False, True):
+            got = [h[a:b].tolist() for h, bounds in hashing.hashed_texts(pa.array([None, *texts])[0:], lower) for a, b in zip(bounds[:-1], bounds[1:])]
+            assert got[0] == [] and len(got) == len(texts) + 1
+            for t, h in zip(texts, got[1:], strict=True):
+                w = rule.findall(t.translate({c: c + 32 for c in range(65, 91)}) if lower else t)
+                assert len(w) == len(h)
+                for x, y in zip(w, h, strict=True):
+                    assert of.setdefault(x, y) == y
+    assert len(set(of.values())) == len(of) > 500
+    assert list(hashing.hashed_texts(pa.array([], pa.string()))) == [] and len(hashing.word_hashes("")) == 0
 
 
 def test_edges(spark, nothing, clashing):
