@@ -10,7 +10,12 @@ It starts as one state that every byte leads back to, and each merge (u, v) in t
 As all arcs of one token lead to the same state, states are named by tokens. A state after uv is thus a copy, made at that
 merge, of the state after v, less the arcs removed and plus the arcs added since. Only these differences are stored: the
 merge at which each token was born, and the merge at which an arc was removed. Looking an arc up follows the copies back,
-and what it finds is filled into a transition table.
+and what it finds is filled into a transition table: the whole table has a bit for each pair of 50,000 tokens, of which words
+in use ask for some 100,000.
+
+Bytes drive it through a second table, that of an automaton which knows all labels of arcs: from the longest label's
+beginning that ends at a place, one byte leads to that at the next place. Each place's arc is the one whose label ends
+there and that leaves the state reached where the label begins. There is one at most, and each byte is read once.
 """
 
 from __future__ import annotations
@@ -85,32 +90,50 @@ class Automaton:
             u, v = pair.split(" ") if isinstance(pair, str) else pair
             self._merge(vocab[u], vocab[v], vocab[u + v], when)
         self.lengths = [len(label) for label in self.labels]
-        # the arcs' labels as a tree of bytes; for each node the longest label that its path begins with
-        self.below: list[dict[int, int]] = [{}]
-        above, ends = [0], [-1]
+        self._compile_bytes()
+
+    def _compile_bytes(self) -> None:
+        """The tree of the labels, node * 256 + byte to node, and for each node: the node of its longest proper end that is in
+        the tree, and the longest label that ends its path. shorter: the next label that ends a label."""
+        tree = self.next = {}
+        parent, byte, label_of = array("i", [0]), bytearray(1), array("i", [-1])
         for label, token in self.arcs.items():
             node = 0
             for b in label:
-                if b not in self.below[node]:
-                    self.below[node][b] = len(self.below)
-                    self.below.append({})
-                    above.append(node)
-                    ends.append(-1)
-                node = self.below[node][b]
-            ends[node] = token
-        self.three = {label[:3]: self._node(label[:3]) for label in self.arcs if len(label) >= 3}
-        self.best, self.shorter = [-1] * len(above), [-1] * n
-        for node in range(1, len(above)):
-            before = self.best[above[node]]
-            if ends[node] >= 0:
-                self.shorter[ends[node]] = before
-            self.best[node] = ends[node] if ends[node] >= 0 else before
-
-    def _node(self, label: bytes) -> int:
-        node = 0
-        for b in label:
-            node = self.below[node][b]
-        return node
+                below = tree.get(node << 8 | b)
+                if below is None:
+                    below = tree[node << 8 | b] = len(parent)
+                    parent.append(node)
+                    byte.append(b)
+                    label_of.append(-1)
+                node = below
+            label_of[node] = token
+        depth = array("i", [0]) * len(parent)
+        for node in range(1, len(parent)):  # parents come before their children
+            depth[node] = depth[parent[node]] + 1
+        fall = self.fall = array("i", [0]) * len(parent)
+        longest = self.longest = array("i", [-1]) * len(parent)
+        self.shorter = array("i", [-1]) * self.size
+        for node in sorted(range(1, len(parent)), key=depth.__getitem__):
+            if depth[node] > 1:
+                end = fall[parent[node]]
+                while (below := tree.get(end << 8 | byte[node])) is None and end:
+                    end = fall[end]
+                fall[node] = below or 0
+            token = label_of[node]
+            longest[node] = token if token >= 0 else longest[fall[node]]
+            if token >= 0:
+                self.shorter[token] = longest[fall[node]]
+        self.own = len(tree)
+
+    def _step(self, node: int, byte: int) -> int:
+        """The transition that the table lacks, filled in."""
+        key, at = node << 8 | byte, node
+        while (below := self.next.get(at << 8 | byte)) is None and at:
+            at = self.fall[at]
+        if len(self.next) - self.own < REMEMBERED:
+            self.next[key] = below or 0
+        return below or 0
 
     def _merge(self, u: int, v: int, uv: int, when: int) -> None:
         """The gadget of one merge."""
@@ -139,33 +162,21 @@ class Automaton:
                 token, when = self.left[token], added
 
     def path(self, word: bytes) -> list[int]:
-        """The one accepted path that spells word.
-
-        Arcs are tried longest first. At most one token can end an accepted path at any place, so that a place from which
-        there is no way on is never tried again.
-        """
+        """The one accepted path that spells word; each byte is one transition, and none is read again."""
         if word in self.arcs:  # the first state has an arc for every token, and no other path spells it
             return [self.arcs[word]]
-        n, size, table_, below, best, shorter, lengths = len(word), self.size, self.table, self.below, self.best, self.shorter, self.lengths
-        three = self.three
-        i, state, tokens, dead, forward = 0, -1, [], set(), True
-        while True:
-            if forward:  # the longest label from here
-                node, k = three.get(word[i : i + 3], 0), i + 3
-                if not node:
-                    k = i
-                while k < n:
-                    below_ = below[node].get(word[k])
-                    if below_ is None:
-                        break
-                    node = below_
-                    k += 1
-                token = best[node]
+        size, table_, next_, longest, shorter, lengths = self.size, self.table, self.next, self.longest, self.shorter, self.lengths
+        node, states = 0, [-1]  # by place: the token whose arc leads there
+        for end, byte in enumerate(word, 1):
+            below = next_.get(node << 8 | byte)
+            node = self._step(node, byte) if below is None else below
+            token = longest[node]
             while token >= 0:
-                j = i + lengths[token]
-                if j not in dead:
-                    if state < 0:
+                state = states[end - lengths[token]]
+                if state < 0:  # the first state, or a place that no path reaches
+                    if end == lengths[token]:
                         break
+                else:
                     key = state * size + token
                     ok = table_.get(key)
                     if ok is None:
@@ -173,20 +184,14 @@ class Automaton:
                     if ok:
                         break
                 token = shorter[token]
-            forward = token >= 0
-            if forward:
-                tokens.append(token)
-                if j == n:
-                    return tokens
-                i, state = j, token
-            else:
-                dead.add(i)
-                if not tokens:
-                    raise ValueError("the vocabulary cannot spell this word")
-                token = tokens.pop()
-                i -= lengths[token]
-                state = tokens[-1] if tokens else -1
-                token = shorter[token]
+            states.append(token)
+        if states[-1] < 0 and word:
+            raise ValueError("the vocabulary cannot spell this word")
+        tokens, end = [], len(word)
+        while end:
+            tokens.append(states[end])
+            end -= lengths[states[end]]
+        return tokens[::-1]
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs, put together; what is no UTF-8 becomes U+FFFD."""
