@@ -21,8 +21,10 @@ WIDTH, STRIDE, VECTOR, FILTERS = 8, 2, 8, 32
 #: Places at which filters look in a chunk, and how far the next chunk begins: chunks overlap by the difference.
 CHUNK, STEP = 128, 120
 CHUNK_BYTES = STRIDE * (CHUNK - 1) + WIDTH
-#: Bounds of training: texts of each label, chunks of each text, passes.
-TRAIN_TEXTS, TRAIN_CHUNKS, EPOCHS, BATCH = 2000, 8, 12, 32
+#: Bounds of training: texts of each label (all chunks of each), passes, texts to a step.
+TRAIN_TEXTS, EPOCHS, BATCH = 2000, 12, 32
+#: Chunks whose responses are held at once in training.
+TRAIN_PIECE = 512
 PIECE = 1 << 16
 
 
@@ -60,8 +62,63 @@ def features(b: np.ndarray, vectors: np.ndarray, filters: np.ndarray, bias: np.n
     return np.concatenate([(total / count).astype(np.float32), most])
 
 
+def chunks_of(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chunks of a text's bytes as rows of CHUNK_BYTES, and at how many places of each the filters look."""
+    n = (len(b) - WIDTH) // STRIDE + 1
+    starts = chunk_starts(n)
+    padded = np.concatenate([b, np.zeros(CHUNK_BYTES, np.uint8)])
+    return padded[starts[:, None] * STRIDE + np.arange(CHUNK_BYTES)], np.minimum(n - starts, CHUNK)
+
+
+def _tops(chunks: np.ndarray, places: np.ndarray, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each chunk and filter the place of the largest response, and that response."""
+    where, top = [], []
+    for k in range(0, len(chunks), TRAIN_PIECE):
+        part = chunks[k : k + TRAIN_PIECE]
+        windows = sliding_window_view(w["vectors"][part].reshape(len(part), -1), WIDTH * VECTOR, axis=1)[:, :: STRIDE * VECTOR]
+        response = np.ascontiguousarray(windows) @ w["filters"]
+        short = np.flatnonzero(places[k : k + TRAIN_PIECE] < CHUNK)
+        for i in short:
+            response[i, places[k + i] :] = -np.inf
+        where.append(response.argmax(axis=1))
+        top.append(np.take_along_axis(response, where[-1][:, None], axis=1)[:, 0])
+    return np.concatenate(where), np.concatenate(top)
+
+
+def gradients(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, w: dict[str, np.ndarray], decay: float = 1e-4) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean log loss over texts (chunks and places of each) plus weight decay of the last layer, and its gradient."""
+    chunks, places = (np.concatenate(x) for x in zip(*texts, strict=True))
+    owner = np.repeat(np.arange(len(texts)), [len(p) for _, p in texts])
+    place, top = _tops(chunks, places, w)
+    top = top + w["bias"]
+    h = np.maximum(top, 0)
+    begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    count = np.diff(np.r_[begin, len(owner)])[:, None]
+    mean, most = np.add.reduceat(h, begin) / count, np.maximum.reduceat(h, begin)
+    x = np.concatenate([mean, most], axis=1).astype(h.dtype)
+    odds = x @ w["out"] + w["last"]
+    p = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+    loss = float(np.mean(np.logaddexp(0, odds) - y * odds) + decay / 2 * (w["out"] @ w["out"]))
+    d = (p - y) / len(y)
+    dx = d[:, None] * w["out"]
+    # the largest of a text's chunks gets the gradient, the first of several
+    best = np.zeros(h.shape, bool)
+    for i, (a, n) in enumerate(zip(begin, count[:, 0], strict=True)):
+        best[a + h[a : a + n].argmax(axis=0), np.arange(FILTERS)] = True
+    dh = ((dx[:, :FILTERS] / count)[owner] + dx[:, FILTERS:][owner] * best) * (top > 0)
+    g = {"out": x.T @ d + decay * w["out"], "last": d.sum(keepdims=True), "bias": dh.sum(axis=0), "filters": np.zeros_like(w["filters"]), "vectors": np.zeros_like(w["vectors"])}
+    for k in range(0, len(chunks), TRAIN_PIECE):
+        own, part = dh[k : k + TRAIN_PIECE], chunks[k : k + TRAIN_PIECE]
+        letters = part[np.arange(len(part))[:, None, None], place[k : k + TRAIN_PIECE][:, :, None] * STRIDE + np.arange(WIDTH)]
+        at_top = w["vectors"][letters].reshape(len(part), FILTERS, WIDTH * VECTOR)  # chunk, filter, window
+        g["filters"] += np.einsum("cfk,cf->kf", at_top, own, optimize=True)
+        dv = (own[:, :, None] * w["filters"].T[None]).reshape(-1, VECTOR)
+        g["vectors"] += np.stack([np.bincount(letters.reshape(-1), dv[:, v], 256) for v in range(VECTOR)], axis=1)
+    return loss, g
+
+
 def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
-    """Fit the network by Adam on the log loss. texts: chunks of each text, as rows of CHUNK_BYTES bytes."""
+    """Fit the network by Adam on the log loss. texts: the bytes of each, of which all chunks count."""
     rng = np.random.default_rng(seed)
     scale = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     w = {"vectors": scale(256, VECTOR) * 8, "filters": scale(WIDTH * VECTOR, FILTERS), "bias": np.zeros(FILTERS, np.float32), "out": scale(2 * FILTERS, 1)[:, 0], "last": np.zeros(1, np.float32)}
@@ -72,29 +129,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> dict[st
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
-            chunks = np.concatenate([texts[i] for i in chosen])
-            owner = np.repeat(np.arange(len(chosen)), [len(texts[i]) for i in chosen])
-            y = labels[chosen].astype(np.float32)
-            windows = sliding_window_view(w["vectors"][chunks].reshape(len(chunks), -1), WIDTH * VECTOR, axis=1)[:, :: STRIDE * VECTOR]
-            response = np.ascontiguousarray(windows) @ w["filters"]
-            place = response.argmax(axis=1)
-            top = np.take_along_axis(response, place[:, None], axis=1)[:, 0] + w["bias"]
-            h = np.maximum(top, 0)
-            begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            count = np.diff(np.r_[begin, len(owner)])[:, None]
-            mean, most = np.add.reduceat(h, begin) / count, np.maximum.reduceat(h, begin)
-            x = np.concatenate([mean, most], axis=1)
-            p = 1 / (1 + np.exp(-(x @ w["out"] + w["last"])))
-            d = (p - y) / len(y)
-            dx = d[:, None] * w["out"]
-            dh = (dx[:, :FILTERS] / count)[owner] + dx[:, FILTERS:][owner] * (h == most[owner])
-            dh *= top > 0
-            g = {"out": x.T @ d + 1e-4 * w["out"], "last": d.sum(keepdims=True), "bias": dh.sum(axis=0)}
-            at_top = windows[np.arange(len(chunks))[:, None], place]  # chunk, filter, window
-            g["filters"] = np.einsum("cfk,cf->kf", at_top, dh, optimize=True)
-            dv = (dh[:, :, None] * w["filters"].T[None]).reshape(-1, VECTOR)
-            letters = chunks[np.arange(len(chunks))[:, None, None], place[:, :, None] * STRIDE + np.arange(WIDTH)].reshape(-1)
-            g["vectors"] = np.stack([np.bincount(letters, dv[:, k], 256) for k in range(VECTOR)], axis=1)
+            _, g = gradients([chunks_of(texts[i]) for i in chosen], labels[chosen].astype(np.float32), w)
             step += 1
             for k in w:
                 m, v = moments[k]
@@ -109,28 +144,18 @@ def score(b: np.ndarray, w: dict[str, np.ndarray]) -> float:
     return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
 
-def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Label and up to TRAIN_CHUNKS chunks, spread over the text, of each text."""
-    for batch in batches:
-        out = []
-        for text in batch.column(1):
-            b = byte_array(text.as_py())
-            starts = chunk_starts((len(b) - WIDTH) // STRIDE + 1)
-            starts = starts[np.unique(np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).round().astype(int))]
-            out.append(b"".join(b[s * STRIDE : s * STRIDE + CHUNK_BYTES].tobytes().ljust(CHUNK_BYTES, b"\0") for s in starts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["label", "chunks"])
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_TEXTS) -> dict[str, np.ndarray] | None:
-    """The network, fitted on the texts of at most `most` ids of each label, by hash of the id, that are not held out.
+    """The network, fitted on whole texts of at most `most` ids of each label, by hash of the id, that are not held out.
 
-    None if there is no text of one of the labels.
+    Ids with both labels are left out; of ids with several texts each counts, up to 4 * most texts by hash of id and text.
+    None if there is no text of one of the labels. The driver holds the chosen texts, one batch's chunks at a time.
     """
-    told = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    told = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    told = told.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").select("doc_id", "label")
     sizes = {r["label"]: r["n"] for r in told.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
@@ -139,14 +164,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for label in (0, 1):
         some = told.filter(F.col("label") == label).orderBy(order, "doc_id").limit(most)
         chosen = some if chosen is None else chosen.unionByName(some)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    picked = texts.join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int").alias("label"), "text").mapInArrow(_samples, "label int, chunks binary")
-    rows = picked.limit(4 * most).toPandas()  # ids may repeat
-    rows = rows.iloc[np.lexsort((rows["chunks"], rows["label"]))] if len(rows) else rows
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    picked = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
+    rows = picked.orderBy(order, "doc_id", F.md5("text"), "text").limit(4 * most).select("label", "text").toPandas()
     y = rows["label"].to_numpy(np.int64)
     if len(np.unique(y)) < 2:
         return None
-    w = train([np.frombuffer(c, np.uint8).reshape(-1, CHUNK_BYTES) for c in rows["chunks"]], y)
+    w = train([byte_array(t) for t in rows["text"]], y)
     # labels were drawn evenly: put their proportions back
     w["last"] = w["last"] + np.float32(np.log(sizes[1] / sizes[0]) - np.log(y.sum() / (1 - y).sum()))
     return w
