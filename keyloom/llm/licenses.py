@@ -179,11 +179,14 @@ def scan(text: str, templates: list[Template]) -> list[tuple[str, int, int, floa
     found = [(t.name, places[a][0], places[b][1], n / len(t.words), n) for t in likely for a, b, n in t.find(words)]
     # of licenses at one place the best covered stays, then the one with most words aligned
     found.sort(key=lambda x: (-x[3], -x[4], x[0], x[1]))
+    starts: list[int] = []  # of what is kept, in order
     kept: list[tuple[str, int, int, float]] = []
     for *x, _ in found:
-        if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
-            kept.append(tuple(x))
-    return sorted(kept, key=lambda x: (x[1], x[0]))
+        k = bisect_left(starts, x[1])
+        if (k == len(kept) or x[2] <= starts[k]) and (k == 0 or kept[k - 1][2] <= x[1]):
+            starts.insert(k, x[1])
+            kept.insert(k, tuple(x))
+    return kept
 
 
 FOUND = "array<struct<name:string,start:bigint,end:bigint,coverage:double>>"
