@@ -79,13 +79,14 @@ def mix_sources(
     more than most times, and reruns agree.
 
     Null and blank texts have size 0; they go with the certain copies only. A null source is a source of its own. Ties
-    in rank (repeated ids) go by id, then by text hash and place in the table. An empty table gives an empty result.
+    in rank (repeated ids) go by id, then by text hash; rows that agree in both are alike, and their place in the table tells
+    them apart. An empty table gives an empty result.
     Other columns are ignored unless listed in keep. docs is read more than once: it must be a stored table, or another plan
     that gives the same rows in the same partitions each time.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    whole = docs.select(F.col(id_col).alias("doc_id"), kept_columns(keep), F.col(source_col).alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("row"))
+    whole = docs.select(F.col(id_col).alias("doc_id"), kept_columns(keep), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("row"))
     rows = cut(whole.drop("keep"))
     plan = cut(targets(rows, weights, share, most))
     n_sources = plan.count()
@@ -107,8 +108,8 @@ def mix_sources(
     so_far = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = binned.groupBy("source", "bin", "wanted").agg(F.sum("size").alias("words")).withColumn("through", F.sum("words").over(so_far))
     cutoff = cut(bins.filter("through > wanted").groupBy("source").agg(F.min(F.struct("bin", (F.col("through") - F.col("words")).alias("n"))).alias("cutoff")))
-    place = F.struct("rank", "doc_id", "row")
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    place = F.struct("rank", "doc_id", "text_hash", "row")
+    order = Window.partitionBy("source").orderBy("rank", "doc_id", "text_hash", "row").rowsBetween(Window.unboundedPreceding, 0)
     close = with_source(binned, cutoff, n_sources).filter("bin = cutoff.bin").withColumn("sum", F.col("cutoff.n") + F.sum("size").over(order))
     taken = close.filter(2 * F.col("sum") - F.col("size") <= 2 * F.col("wanted")).groupBy("source").agg(F.max(place).alias("last"))
     limits = cut(
