@@ -21,8 +21,9 @@ from keyloom.llm.common import attach, cut, shared_folder, table
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Pages to an archive file. A file is read as a whole, and unpacked record by record.
-PAGES_PER_FILE = 10_000
+#: Pages to an archive file, and fewer where so many have more than these bytes of payload on average. A file is read as a
+#: whole (so no one file of 2 GB or more can be), and unpacked record by record.
+PAGES_PER_FILE, BYTES_PER_FILE = 10_000, 100_000_000
 FLUSH_BYTES = 16_000_000
 
 
@@ -63,8 +64,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     )
     ids = rows.groupBy("digest", "id").agg(F.count("*").alias("same"), F.first(F.octet_length("html")).alias("bytes"))
     groups = ids.groupBy("digest").agg(F.max(F.struct("id", "same")).alias("best"), F.sum("same").alias("n"), F.first("bytes").alias("bytes"))
-    groups = cut(groups.select("digest", "n", F.col("best.id").alias("best_id"), F.col("best.same").alias("same"), (F.col("bytes") >= least_bytes).alias("joins")))
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = cut(groups.select("digest", "n", F.col("best.id").alias("best_id"), F.col("best.same").alias("same"), "bytes", (F.col("bytes") >= least_bytes).alias("joins")))
+    total, payload = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("bytes")), F.lit(0))).first()
+    pages_per_file = max(min(pages_per_file, BYTES_PER_FILE * total // max(payload, 1)), 1)
     # rows are told apart within this one job only: another reading may deal them into other partitions
     joined = attach(rows.withColumn("row", F.monotonically_increasing_id()), groups, "digest", "n", total)
     best = F.col("id").eqNullSafe(F.col("best_id"))
