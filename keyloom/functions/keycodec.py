@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from keyloom.functions.primitives import escape_hex, float_hex, invert_hex, sortable_hex, unescape
-from keyloom.schema import SECONDS, SPARK_TYPES, IndexSpec, KeyColumn
+from keyloom.schema import SECONDS, SPARK_TYPES, TOO_LONG, IndexSpec, KeyColumn
 
 WIDTHS = {"BYTE": 1, "SHORT": 2, "INT": 4, "LONG": 8}
 END = "0001"
@@ -57,7 +57,7 @@ def _column_hex(c: KeyColumn, value: Column) -> Column:
 def pack(spec: IndexSpec, values: Sequence[Column]) -> Column:
     """The packed key of the given columns, which may be fewer than the spec's."""
     if len(values) > len(spec.key):
-        raise ValueError("Too many key values for schema")
+        raise ValueError(TOO_LONG)
     parts = [_column_hex(c, v) for c, v in zip(spec.key, values, strict=False)]
     if len(values) < len(spec.key) and spec.key[len(values)].descending:
         parts.append(F.lit("FFFFFF"))

@@ -43,10 +43,10 @@ def null_bitmap(values: Sequence[Column]) -> Column:
 def pack_row(columns: Sequence[RowColumn], values: Sequence[Column]) -> Column:
     """The packed row; a NULL in a column that has none fails the query."""
     if len(values) != len(columns):
-        raise ValueError("Invalid length values")
+        raise ValueError(f"{len(values)} values for {len(columns)} columns")
     parts = [null_bitmap(values)]
     for c, v in zip(columns, values, strict=True):
-        absent = F.lit("") if c.nullable else F.raise_error(F.lit(f"Column '{c.name}' is not nullable")).cast("string")
+        absent = F.lit("") if c.nullable else F.raise_error(F.lit(f"{c.name} is not nullable, and a row has NULL there")).cast("string")
         parts.append(F.when(v.isNull(), absent).otherwise(_value_hex(v, c.type)))
     return F.unhex(F.concat(*parts))
 

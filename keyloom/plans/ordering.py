@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.schema import IndexSpec, KeyColumn
-
-
-def _checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one where a session names none (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyloom-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """The path of a new folder beside the checkpoints."""
-    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
+from keyloom.plans.shared import cut
+from keyloom.schema import TOO_LONG, IndexSpec, KeyColumn
 
 
 def presence(column: Column, place: int, arity: Column | None) -> Column:
@@ -64,7 +44,7 @@ def compare_bytes(a: Column, b: Column, descending: bool = False) -> Column:
 def compare_keys(spec: IndexSpec, a: Sequence[Column], b: Sequence[Column]) -> Column:
     """-1, 0 or 1 of two unpacked keys in the spec's order. b, or a, may have fewer columns: a short key."""
     if max(len(a), len(b)) > len(spec.key):
-        raise ValueError("Too many key values for schema")
+        raise ValueError(TOO_LONG)
     result = F.lit(0)
     for i in reversed(range(max(len(a), len(b)))):
         c = spec.key[i]

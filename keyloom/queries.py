@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +10,10 @@ from keyloom.functions.keycodec import format_key, pack, unpack
 from keyloom.functions.primitives import escape_bytes, varint_length
 from keyloom.functions.rowcodec import null_bitmap, pack_row, unpack_row
 from keyloom.operators.index import OrderedIndex
-from keyloom.plans.ordering import compare_bytes, compare_keys, shared_folder, with_positions
+from keyloom.plans.ordering import compare_bytes, compare_keys, with_positions
+from keyloom.plans.shared import cut, remove, shared_folder
 from keyloom.schema import IndexSpec, RowColumn, coerced, index_spec
+from keyloom.sources.database import Database
 from keyloom.sources.snapshots import commit_index
 
 
@@ -69,7 +72,7 @@ def lookup_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = _table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select((F.col("o_orderkey") - 21).alias("o_orderkey"))
+    keys = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 2 - 21).alias("o_orderkey"))
     return _orders(spark, sf_dir).lookup_many(keys)
 
 
@@ -118,7 +121,7 @@ def delete_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def update_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = _table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 = 0").select("l_orderkey", "l_linenumber").distinct()
+    keys = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     new = keys.select("*", F.lit(-1).cast("bigint").alias("l_partkey"), F.lit(-2).cast("bigint").alias("l_suppkey"), F.lit(0.5).alias("l_quantity"))
     return _lines(spark, sf_dir).update(new, F.lit(0)).df.drop("_seq")
 
@@ -174,6 +177,34 @@ def key_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(pack(spec, values).alias("packed")).select(unpack(spec, F.col("packed")).alias("k")).select("k.*")
 
 
+UUIDS = index_spec("uuids", [("u", "UUID"), ("k", "LONG", True)])
+
+
+def key_encode_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed, ranked by the packed bytes, and unpacked again."""
+    rows = _table(spark, sf_dir, "orders").select(F.regexp_replace(F.upper(F.md5((F.col("o_custkey") % 97).cast("string").cast("binary"))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5").alias("u"), F.col("o_orderkey").alias("k"))
+    packed = rows.select(pack(UUIDS, [coerced(F.col("u"), "UUID"), F.col("k")]).alias("packed"))
+    ranks = with_positions(packed, [F.col("packed").asc()], "packed_rank")
+    return ranks.select(unpack(UUIDS, F.col("packed")).alias("key"), "packed_rank").select("key.*", "packed_rank")
+
+
+BYTES = index_spec("bytes", [("b", "BYTES", True), ("s", "SHORT"), ("y", "BYTE", True)])
+BYTES_COLUMNS = ["unhex(hex(p_brand) || repeat('00', CAST(p_partkey % 3 AS INT))) AS b", "CAST(p_partkey % 2000 - 1000 AS SMALLINT) AS s", "CAST((p_size * 5) % 256 - 128 AS TINYINT) AS y", "p_partkey"]
+
+
+def key_encode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "part").selectExpr(*BYTES_COLUMNS).withColumn("b", F.nullif("b", F.unhex(F.hex(F.lit("Brand#11")))))
+    return _ranks(rows, pack(BYTES, [F.col("b"), F.col("s"), F.col("y")])).select("p_partkey", "packed_rank")
+
+
+def compare_bytes_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's name against the next part's, as bytes, ascending and descending."""
+    parts = _table(spark, sf_dir, "part").select("p_partkey", F.encode("p_name", "UTF-8").alias("x"))
+    other = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("x").alias("y"))
+    joined = parts.join(other, "p_partkey")
+    return joined.select("p_partkey", compare_bytes(F.col("x"), F.col("y")).alias("up"), compare_bytes(F.col("x"), F.col("y"), descending=True).alias("down"))
+
+
 CUSTOMER = [RowColumn("c_custkey", "LONG", False), RowColumn("c_name", "STRING"), RowColumn("c_nationkey", "INT"), RowColumn("c_acctbal", "DOUBLE"), RowColumn("segment", "STRING")]
 
 
@@ -234,7 +265,80 @@ def snapshot_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "orders-index")
     index = commit_index(_orders(spark, sf_dir), path, 4)
     keys = _table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 2").select("o_orderkey")
-    return commit_index(index.delete(keys), path, 4).df.drop("_seq")
+    out = cut(commit_index(index.delete(keys), path, 4).df.drop("_seq"))
+    remove(spark, path)
+    return out
+
+
+def stored_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first entry, one entry by its key and a range, of a stored index whose manifest says which files to read."""
+    path = shared_folder(spark, "orders-index")
+    index = commit_index(_orders(spark, sf_dir, BY_CUSTOMER), path, 6)
+    reads = {"first": index.first(), "range": index.between([20], [40, 3000])}
+    tagged = [df.drop("_seq").select(F.lit(name).alias("read"), "*") for name, df in reads.items()]
+    out = cut(tagged[0].unionByName(tagged[1]))
+    remove(spark, path)
+    return out
+
+
+def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of a stored index, summed up."""
+    path = shared_folder(spark, "orders-index")
+    layout = commit_index(_orders(spark, sf_dir, BY_CUSTOMER), path, 4).layout()
+    whole = layout.agg(F.sum("entries").alias("entries"), F.min("least").alias("least"), F.max("largest").alias("largest"), F.sum("nulls").alias("nulls"), F.min("bounds.o_orderkey.least").alias("least_order"))
+    out = cut(whole.select("*", (F.lit(layout.filter("bytes > 0").count()) > 1).alias("several_files")))
+    remove(spark, path)
+    return out
+
+
+def create_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A database of two indexes, of which one is filled and the other dropped."""
+    path = shared_folder(spark, "database")
+    db = Database(spark, path)
+    db.create_index(BY_ORDER)
+    db.create_index(BY_CUSTOMER)
+    index = db.open_index("orders")
+    db.commit(index.insert(_table(spark, sf_dir, "orders"), F.col("o_orderkey")), 2)
+    db.drop_index("orders_by_customer")
+    sizes = [(name, db.stats(name)["entries"], db.open_index(name).size().first()["size"]) for name in db.names()]
+    remove(spark, path)
+    return spark.createDataFrame(sizes, "name string, entries bigint, size bigint")
+
+
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What fails, with the kind of error: over-long keys, short keys where there are none, NULL where none may be, what is
+    defined twice or not at all."""
+    index, path = _orders(spark, sf_dir), shared_folder(spark, "database")
+    db = Database(spark, path)
+    db.create_index(BY_ORDER)
+    stale = db.open_index("orders")
+    db.commit(db.open_index("orders"))
+    no_null = index_spec("no_null", [("o_orderkey", "LONG")], [("c", "LONG", False)])
+    holed = _table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_custkey", "o_custkey").alias("c"))
+    tries = {
+        "long_lookup": lambda: index.lookup(1, 2),
+        "short_lookup": lambda: index.lookup(),
+        "long_rank": lambda: index.insertion_rank(1, 2),
+        "long_range": lambda: index.between([1, 2]),
+        "long_pack": lambda: pack(BY_ORDER, [F.lit(1), F.lit(2)]),
+        "null_value": lambda: OrderedIndex.from_dataframe(holed, no_null).df.agg(F.max("c")).collect(),
+        "created_twice": lambda: db.create_index(BY_ORDER),
+        "no_such_index": lambda: db.open_index("none"),
+        "stale_commit": lambda: db.commit(stale),
+        "bad_type": lambda: index_spec("x", [("a", "DECIMAL")]),
+        "good_lookup": lambda: index.lookup(1),
+    }
+
+    def fails(f) -> bool:
+        try:
+            f()
+        except (ValueError, PySparkException):
+            return True
+        return False
+
+    found = [(name, fails(f)) for name, f in tries.items()]
+    remove(spark, path)
+    return spark.createDataFrame(found, "what string, fails boolean")
 
 
 def range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,6 +350,7 @@ NAMES = [
     traverse_asc, traverse_mixed, traverse_nulls, traverse_collated, first_entry, lookup_hit, lookup_miss, lookup_batch, lookup_duplicate, lookup_prefix, insertion_rank, insert_new,
     insert_duplicate, delete_one, delete_dup, delete_missing, update_value, update_missing, update_rekey, update_rekey_collision, key_encode_order, key_encode_float, key_roundtrip,
     row_roundtrip, row_null_bitmap, key_compare, key_format, bytes_escape, varint_len, temporal_second, date_epoch_day, size, snapshot_reopen, range_scan,
+    key_encode_uuid, key_encode_bytes, compare_bytes_desc, stored_reads, store_stats, create_drop, errors,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -263,7 +368,7 @@ ORACLE_SQL = {
     "first_entry": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey NULLS FIRST, o_orderkey NULLS FIRST LIMIT 1",
     "lookup_hit": f"{_ORDERS} WHERE o_orderkey = 5",
     "lookup_miss": f"{_ORDERS} WHERE o_orderkey = -5",
-    "lookup_batch": "SELECT k.o_orderkey, o.o_orderkey IS NOT NULL AS found, o.o_custkey, o.o_totalprice FROM (SELECT o_orderkey - 21 AS o_orderkey FROM orders WHERE o_orderkey % 7 = 0) k LEFT JOIN orders o ON o.o_orderkey = k.o_orderkey",
+    "lookup_batch": "SELECT k.o_orderkey, o.o_orderkey IS NOT NULL AS found, o.o_custkey, o.o_totalprice FROM (SELECT o_orderkey * 2 - 21 AS o_orderkey FROM orders) k LEFT JOIN orders o ON o.o_orderkey = k.o_orderkey",
     "lookup_duplicate": f"SELECT l_orderkey, l_linenumber, true AS found, l_partkey, l_suppkey, l_quantity FROM ({_LINES}) WHERE n = 1",
     "lookup_prefix": "SELECT c.o_custkey, o.o_orderkey IS NOT NULL AS found, o.o_totalprice FROM (SELECT DISTINCT o_custkey FROM orders) c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 3 = 0) o ON o.o_custkey = c.o_custkey AND o.n = 1",
     "insertion_rank": "SELECT count(*) AS rank FROM orders WHERE o_custkey < 75 OR (o_custkey = 75 AND o_orderkey < 7000)",
@@ -272,7 +377,7 @@ ORACLE_SQL = {
     "delete_one": f"{_ORDERS} WHERE o_orderkey % 5 <> 2",
     "delete_dup": f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM ({_LINES}) WHERE n > CASE WHEN l_orderkey % 4 = 0 THEN 2 ELSE 1 END",
     "delete_missing": _ORDERS,
-    "update_value": f"SELECT l_orderkey, l_linenumber, CASE WHEN hit THEN -1 ELSE l_partkey END AS l_partkey, CASE WHEN hit THEN -2 ELSE l_suppkey END AS l_suppkey, CASE WHEN hit THEN 0.5::DOUBLE ELSE l_quantity END AS l_quantity FROM (SELECT *, n = 1 AND l_orderkey % 3 = 0 AS hit FROM ({_LINES}))",
+    "update_value": f"SELECT l_orderkey, l_linenumber, CASE WHEN hit THEN -1 ELSE l_partkey END AS l_partkey, CASE WHEN hit THEN -2 ELSE l_suppkey END AS l_suppkey, CASE WHEN hit THEN 0.5::DOUBLE ELSE l_quantity END AS l_quantity FROM (SELECT *, n = 1 AS hit FROM ({_LINES}))",
     "update_missing": _ORDERS,
     "update_rekey": _MOVED.format(to="o_orderkey + 50000000"),
     "update_rekey_collision": _MOVED.format(to="o_orderkey - 1"),
@@ -295,4 +400,11 @@ SELECT o_orderkey, whole AS packed, whole AS unpacked, CASE WHEN first <> 0 THEN
     "size": "SELECT count(*) AS size FROM lineitem",
     "snapshot_reopen": f"{_ORDERS} WHERE o_orderkey % 5 <> 2",
     "range_scan": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey >= 100 AND (o_custkey < 200 OR (o_custkey = 200 AND o_orderkey < 5000))",
+    "key_encode_uuid": "SELECT u, k, row_number() OVER (ORDER BY u, k DESC) AS packed_rank FROM (SELECT regexp_replace(md5((o_custkey % 97)::VARCHAR), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS u, o_orderkey AS k FROM orders)",
+    "key_encode_bytes": f"SELECT p_partkey, dense_rank() OVER (ORDER BY nullif(b, unhex(hex('Brand#11'))) DESC NULLS LAST, s NULLS FIRST, y DESC NULLS LAST) AS packed_rank FROM (SELECT {', '.join(BYTES_COLUMNS)} FROM part)",
+    "compare_bytes_desc": "SELECT a.p_partkey, CASE WHEN encode(a.p_name) < encode(b.p_name) THEN -1 WHEN encode(a.p_name) > encode(b.p_name) THEN 1 ELSE 0 END AS up, CASE WHEN encode(a.p_name) < encode(b.p_name) THEN 1 WHEN encode(a.p_name) > encode(b.p_name) THEN -1 ELSE 0 END AS down FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1",
+    "stored_reads": "(SELECT 'first' AS read, o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_orderkey LIMIT 1) UNION ALL SELECT 'range', o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey >= 20 AND (o_custkey < 40 OR (o_custkey = 40 AND o_orderkey < 3000))",
+    "store_stats": "SELECT count(*) AS entries, min(o_custkey) AS least, max(o_custkey) AS largest, count_if(o_custkey IS NULL)::BIGINT AS nulls, min(o_orderkey) AS least_order, true AS several_files FROM orders",
+    "create_drop": "SELECT 'orders' AS name, count(*) AS entries, count(*) AS size FROM orders",
+    "errors": "SELECT * FROM (VALUES ('long_lookup', true), ('short_lookup', true), ('long_rank', true), ('long_range', true), ('long_pack', true), ('null_value', true), ('created_twice', true), ('no_such_index', true), ('stale_commit', true), ('bad_type', true), ('good_lookup', false)) AS t(what, fails)",
 }

@@ -25,6 +25,7 @@ SPARK_TYPES = {
     "UUID": "string",
     "BYTES": "binary",
 }
+TOO_LONG = "a key has more values than the index has key columns"
 SECONDS = ("LOCAL_DATE_TIME", "INSTANT")
 
 
@@ -114,6 +115,6 @@ def checked(df: DataFrame, columns: Sequence[RowColumn]) -> list[Column]:
     for c in columns:
         value = coerced(F.col(c.name), c.type)
         if not c.nullable:
-            value = F.when(value.isNull(), F.raise_error(F.lit(f"Column '{c.name}' is not nullable"))).otherwise(value)
+            value = F.when(value.isNull(), F.raise_error(F.lit(f"{c.name} is not nullable, and a row has NULL there"))).otherwise(value)
         out.append(value.alias(c.name))
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from keyloom.operators.index import OrderedIndex
 from keyloom.schema import IndexSpec
-from keyloom.sources.snapshots import POINTER, Folder, commit_index, create_index, open_index
+from keyloom.sources.snapshots import COMMITS, Folder, IndexStoreError, commit_index, create_index, last_commit, open_index
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,7 @@ class Database:
     def open_index(self, name: str) -> OrderedIndex:
         """An index as last committed."""
         if name not in self.names():
-            raise ValueError(f"there is no index {name}")
+            raise IndexStoreError(f"there is no index {name}")
         return open_index(self.spark, self._at(name))
 
     def commit(self, index: OrderedIndex, files: int | None = None) -> OrderedIndex:
@@ -36,7 +36,14 @@ class Database:
         return commit_index(index, self._at(index.spec.name), files)
 
     def names(self) -> list[str]:
-        return sorted(n for n in Folder(self.spark, self.path).names() if Folder(self.spark, f"{self.path}/{n}").exists(POINTER))
+        return sorted(n for n in Folder(self.spark, self.path).names() if Folder(self.spark, f"{self.path}/{n}").names(COMMITS))
+
+    def stats(self, name: str) -> dict[str, int]:
+        """Of an index as last committed: commit (its number), files, entries and bytes."""
+        commit = last_commit(self.spark, self._at(name))
+        if commit is None:
+            raise IndexStoreError(f"there is no index {name}")
+        return {"commit": commit.number, "files": commit.files, "entries": commit.entries, "bytes": commit.bytes}
 
     def drop_index(self, name: str) -> None:
         if name in self.names():

@@ -74,9 +74,9 @@ def test_short_keys(spark):
     r = spark.range(1).select(compare_bytes(one, two).alias("x"), compare_bytes(two, three).alias("y"), compare_keys(spec, [a], [a, b]).alias("u"), compare_keys(spec, [a, b], [a, b, c]).alias("v"), keycodec.unpack(spec, one).alias("k"), keycodec.unpack(spec, two).alias("l")).first()
     assert (r["x"], r["y"]) == (r["u"], r["v"]) == (-1, 1)
     assert tuple(r["k"]) == (10, None, None) and tuple(r["l"]) == (10, 5230, None)
-    with pytest.raises(ValueError, match="Too many"):
+    with pytest.raises(ValueError, match="more values"):
         keycodec.pack(spec, [a] * 4)
-    with pytest.raises(ValueError, match="Too many"):
+    with pytest.raises(ValueError, match="more values"):
         compare_keys(spec, [a] * 4, [a])
 
 
@@ -122,9 +122,9 @@ def test_null_bitmap_at_the_edge_of_a_byte(spark):
 
 def test_row_errors(spark):
     columns = [RowColumn("a", "INT", False)]
-    with pytest.raises(ValueError, match="Invalid length"):
+    with pytest.raises(ValueError, match="values for"):
         rowcodec.pack_row(columns, [])
-    with pytest.raises(PySparkException, match="'a' is not nullable"):
+    with pytest.raises(PySparkException, match="a is not nullable"):
         spark.range(1).select(rowcodec.pack_row(columns, [F.lit(None).cast("int")])).collect()
     for data, kinds in ((b"", ["INT"]), (b"\x00\x01", ["INT"]), (b"\x00\x05a", ["STRING"])):
         with pytest.raises(ValueError):
