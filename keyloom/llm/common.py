@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.plans.shared import cut, remove, shared_folder
+
+__all__ = ["GAP", "WORD", "attach", "cut", "kept_columns", "let", "quoted", "remove", "shared_folder", "table", "words"]
+
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -18,25 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one where a session names none (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyloom-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs nothing upstream."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """The path of a new folder beside the checkpoints."""
-    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, as SQL has no local names inside an expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -47,11 +30,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, whose columns filters and projections above will not compute again: they see what a generator returns."""
-    return df.select(F.explode(F.array(F.struct("*"))).alias("x")).select("x.*")
-
-
 def quoted(name: str) -> Column:
     """The column of this very name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")

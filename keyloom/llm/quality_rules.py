@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, kept_columns, let, settled, table, words
+from keyloom.llm.common import cut, kept_columns, let, table, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -125,17 +125,19 @@ def votes() -> list[Column]:
     return [F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END").alias(f"vote_{name}") for name, bad, good in RULES]
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), only_kept: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, the struct keep of the columns listed in keep, the statistics, base_failed, quality
     (a posterior) and kept.
 
     A text fails outright on base_failed. For the rest each rule of RULES votes good, bad or abstains; EM over the
     counts of vote patterns of all rows fits each rule's error rates, and kept says that the posterior probability of
     good is at least one half. Null and blank texts have no words, and fail; repeated rows are judged alike; an empty
-    table gives an empty result. Very long texts are read whole. Other columns are ignored unless listed in keep.
+    table gives an empty result. Very long texts are read whole. Other columns are ignored unless listed in keep. only_kept
+    gives the rows that are kept alone; the rules are fitted on the same rows either way.
     """
     stats = statistics(docs, id_col, text_col, keep)
-    stats = settled(stats) if keep else cut(stats)  # what is kept may be whole texts: these are rather read again
+    # the statistics take far longer than to write them and what is kept
+    stats = cut(stats.filter(f"not ({BASE_FAILED})") if only_kept else stats)
     names = [f"vote_{name}" for name, _, _ in RULES]
     voted = stats.select("*", F.expr(BASE_FAILED).alias("base_failed"), *votes())
     counts = voted.filter(~F.col("base_failed")).groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 3 ** 6 rows
@@ -144,7 +146,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for name, rule in zip(names, rules, strict=True):
         odds = odds + F.when(F.col(name) < 0, log_odds(-1, rule)).when(F.col(name) > 0, log_odds(1, rule)).otherwise(log_odds(0, rule))
     scored = voted.withColumn("quality", 1 / (1 + F.exp(-odds)))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5)).drop(*names)
+    scored = scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5)).drop(*names)
+    return scored.filter("kept") if only_kept else scored
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
