@@ -42,7 +42,7 @@ class Sizes:
     small_run: int = 64
     #: Sets that may belong together are compared in one task up to so many sets and shingles; beyond, in rounds.
     task_sets: int = 4096
-    task_entries: int = 16_000_000
+    task_entries: int = 8_000_000
     pivots: int = 3
     rounds: int = 6
     #: After the rounds: pairs of a column for each of its sets up to which they are compared, not parted by the next column.
@@ -56,7 +56,7 @@ class Sizes:
     #: Entries that a task gathers before it deals them to blocks (columns to count, entries to multiply), and those of a block.
     window: int = 2_000_000
     flush: int = 500_000
-    block: int = 2_250_000
+    block: int = 1_000_000
     #: Beyond so many blocks, entries are dealt in two steps, so that what a task sends to a block stays worth a row.
     one_step: int = 16_000
     #: The filter of the sets to be compared in full has at most so many bits; a full one lets more through.
