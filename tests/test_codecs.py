@@ -93,6 +93,51 @@ def test_both_comparisons_agree(spark, kinds):
         assert wrong.filter("u <> p or (same <> (u = 0))").count() == 0
 
 
+def test_decoding_agrees_with_the_plain_decoders(spark):
+    """Random values of all types, bit patterns of floats among them."""
+    rng = np.random.default_rng(8)
+    kinds = list(VALUES)
+    doubles = rng.integers(0, 2**64, 400, dtype=np.uint64).view(np.float64).tolist() + [5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -0.0]
+    floats = [float(x) for x in rng.integers(0, 2**32, 400, dtype=np.uint32).view(np.float32)] + [1e-45, -1e-45, 0.0, 1.1754943508222875e-38, 3.4028234663852886e38]
+    rows = [tuple(floats[n] if k == "FLOAT" else doubles[n] if k == "DOUBLE" else bytes(rng.integers(0, 3, rng.integers(0, 9)).astype(np.uint8) * 127) if k == "BYTES" else rng.choice(np.array(VALUES[k], object)) if rng.random() > 0.2 else None for k in kinds) for n in range(405)]
+    down = [bool(i % 2) for i in range(len(kinds))]
+    spec = index_spec("all", [(f"c{i}", k, d) for i, (k, d) in enumerate(zip(kinds, down, strict=True))])
+    columns = [RowColumn(f"c{i}", k) for i, k in enumerate(kinds)]
+    key, row = keycodec.pack(spec, [F.col(c.name) for c in spec.key]), rowcodec.pack_row(columns, [F.col(c.name) for c in columns])
+    df = frame(spark, kinds, rows).select("n", key.alias("key"), row.alias("row")).select("*", keycodec.unpack(spec, F.col("key")).alias("k"), rowcodec.unpack_row(columns, F.col("row")).alias("r"))
+    day, epoch = dt.date(1970, 1, 1), dt.datetime(1970, 1, 1)
+
+    def plain(values):
+        out = []
+        for v, k in zip(values, kinds, strict=True):
+            out.append(v if v is None else day + dt.timedelta(v) if k == "LOCAL_DATE" else epoch + dt.timedelta(seconds=v) if k in ("LOCAL_DATE_TIME", "INSTANT") else v)
+        return out
+
+    for r in df.collect():
+        for got, want in ((r["k"], keycodec.unpack_bytes(bytes(r["key"]), list(zip(kinds, down)))), (r["r"], rowcodec.unpack_row_bytes(bytes(r["row"]), kinds))):
+            got = [bytes(v) if isinstance(v, bytearray) else v for v in got]
+            assert all(same(a, b) and (not isinstance(a, float) or math.isnan(a) or math.copysign(1, a) == math.copysign(1, b)) for a, b in zip(plain(want), got)), (r["n"], plain(want), got)
+
+
+def test_very_long_values(spark):
+    """No expression may go deeper with the length of a value."""
+    text = "x\x00y" * 400_000
+    spec = index_spec("k", [("s", "STRING", True), ("b", "BYTES"), ("n", "INT")])
+    columns = [RowColumn("s", "STRING"), RowColumn("b", "BYTES")]
+    df = spark.createDataFrame([(text, bytearray(b"\x00" * 500_000), 7)], "s string, b binary, n int")
+    r = df.select(keycodec.unpack(spec, keycodec.pack(spec, [F.col("s"), F.col("b"), F.col("n")])).alias("k"), rowcodec.unpack_row(columns, rowcodec.pack_row(columns, [F.col("s"), F.col("b")])).alias("r")).first()
+    assert r["k"]["s"] == r["r"]["s"] == text and bytes(r["k"]["b"]) == bytes(r["r"]["b"]) == b"\x00" * 500_000 and r["k"]["n"] == 7
+
+
+def test_null_and_broken_bytes(spark):
+    spec, columns = index_spec("k", [("s", "STRING"), ("n", "INT", True)]), [RowColumn("s", "STRING"), RowColumn("n", "INT")]
+    none = spark.sql("SELECT CAST(NULL AS BINARY) p").select(keycodec.unpack(spec, F.col("p")).alias("k"), rowcodec.unpack_row(columns, F.col("p")).alias("r")).first()
+    assert tuple(none["k"]) == tuple(none["r"]) == (None, None)
+    for data, decode, what in ((b"\x01ab", keycodec.unpack(spec, F.col("p")), "no end"), (b"\x40\x05a", rowcodec.unpack_row(columns, F.col("p")), "end inside"), (b"\x80\x00\x01", rowcodec.unpack_row(columns, F.col("p")), "end inside")):
+        with pytest.raises(PySparkException, match=what):
+            spark.createDataFrame([(bytearray(data),)], "p binary").select(decode.alias("x")).collect()
+
+
 def test_collated_keys_are_ordered_not_packed():
     spec = index_spec("k", [("a", "STRING", False, "UNICODE")])
     with pytest.raises(ValueError, match="ordered, not packed"):
