@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.functions.primitives import let
 from keyloom.plans.shared import cut, remove, shared_folder
 
 __all__ = ["GAP", "WORD", "attach", "cut", "kept_columns", "let", "quoted", "remove", "shared_folder", "table", "words"]
@@ -20,11 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value evaluated once, as SQL has no local names inside an expression."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words(text: Column) -> Column:
     """The words of a text in order; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
