@@ -11,10 +11,11 @@ import struct
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keyloom.functions.primitives import BYTEWISE, bits_float, bits_number, escape_bytes, float_hex, invert_hex, let, seconds_time, sortable_hex, top_bit_turned, unescape, unescape_bytes
+from keyloom.functions.primitives import escape_bytes, float_hex, invert_hex, sortable_hex, unescape
 from keyloom.schema import SECONDS, SPARK_TYPES, TOO_LONG, IndexSpec, KeyColumn
 
 WIDTHS = {"BYTE": 1, "SHORT": 2, "INT": 4, "LONG": 8}
@@ -106,63 +107,49 @@ def unpack_bytes(data: bytes, columns: Sequence[tuple[str, bool]]) -> list:
     return out
 
 
-def _value(raw: Column, kind: str) -> Column:
-    """A value of its sortable bytes."""
-    if kind == "STRING":
-        return F.decode(raw, "UTF-8")
-    if kind == "BYTES":
-        return raw
-
-    def of(h: Column) -> Column:
-        if kind == "BOOLEAN":
-            return h != "00"
-        if kind in WIDTHS:
-            return bits_number(top_bit_turned(h), WIDTHS[kind]).cast(SPARK_TYPES[kind])
-        if kind in ("FLOAT", "DOUBLE"):
-            return bits_float(F.when(F.substring(h, 1, 1) >= "8", top_bit_turned(h)).otherwise(invert_hex(h)), kind == "DOUBLE")
-        if kind == "UUID":
-            return uuid_text(h)
-        n = bits_number(top_bit_turned(h), 8)
-        return F.date_from_unix_date(n.cast("int")) if kind == "LOCAL_DATE" else seconds_time(n, kind == "INSTANT")
-
-    return let(F.hex(raw), of)
-
-
-def uuid_text(digits: Column) -> Column:
-    parts = [F.substring(digits, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.when(F.length(digits) == 32, F.lower(F.concat_ws("-", *parts))).otherwise(F.raise_error(F.lit("a UUID has 16 bytes")))
+ARROW_TYPES = {
+    "BOOLEAN": pa.bool_(),
+    "BYTE": pa.int8(),
+    "SHORT": pa.int16(),
+    "INT": pa.int32(),
+    "LONG": pa.int64(),
+    "FLOAT": pa.float32(),
+    "DOUBLE": pa.float64(),
+    "STRING": pa.string(),
+    "UUID": pa.string(),
+    "BYTES": pa.binary(),
+}
+
+
+def struct_array(rows: Sequence[Sequence], names: Sequence[str], kinds: Sequence[str]) -> pa.Array:
+    """Decoded rows as an Arrow struct. Through Arrow and not pandas, where NaN and NULL would be the same."""
+    arrays = []
+    for i, kind in enumerate(kinds):
+        values = [r[i] for r in rows]
+        if kind == "LOCAL_DATE":
+            arrays.append(pa.array(values, pa.int32()).cast(pa.date32()))
+        elif kind in SECONDS:
+            arrays.append(pa.array([None if v is None else v * 1_000_000 for v in values], pa.int64()).cast(pa.timestamp("us", "UTC" if kind == "INSTANT" else None)))
+        else:
+            arrays.append(pa.array(values, ARROW_TYPES[kind]))
+    return pa.StructArray.from_arrays(arrays, names)
 
 
 def unpack(spec: IndexSpec, packed: Column) -> Column:
-    """A struct of the key columns of a packed key; NULL for columns that it leaves out, and of a NULL key for all.
+    """A struct of the key columns of a packed key; of a NULL key all are NULL.
 
-    Columns are cut off one after another at their ends, which nothing inside a column looks like, all in the JVM.
+    Through Arrow: the same said in SQL functions took twice the time.
     """
     if any(c.collation for c in spec.key):
         raise ValueError("collated columns can be ordered, not packed")
-    chars, length = F.decode(packed, BYTEWISE), F.octet_length(packed)
-
-    def column(i: int, at: Column, values: list[Column]) -> Column:
-        """at: where column i begins, from 1."""
-        if i == len(spec.key):
-            return F.struct(*[v.alias(c.name) for v, c in zip(values, spec.key, strict=True)])
-        c = spec.key[i]
-        ended = packed.isNull() | (at > length)
-        if c.descending:
-            ended = ended | ((at + 2 == length) & (F.hex(F.substring(packed, at, F.lit(3))) == "FFFFFF"))
-        end = F.call_function("locate", F.lit("\xff\xfe" if c.descending else "\x00\x01"), chars, at + 1)
-
-        def cut_off(x: Column) -> Column:
-            raw = F.substring(packed, x["at"] + 1, x["end"] - x["at"] - 1)
-            flag = F.hex(F.substring(packed, x["at"], F.lit(1)))
-            value = _value(unescape_bytes(F.unhex(invert_hex(F.hex(raw))) if c.descending else raw), c.type)
-            absent = F.lit(None).cast(SPARK_TYPES[c.type])
-            value = F.when(x["end"].isNull(), absent).when(x["end"] == 0, F.raise_error(F.lit("a key column has no end")).cast(SPARK_TYPES[c.type])).when(flag == ("FE" if c.descending else "01"), value).otherwise(absent)
-            return column(i + 1, F.when(x["end"] > 0, x["end"] + 2).otherwise(length + 1), [*values, value])
-
-        return let(F.struct(at.alias("at"), F.when(~ended, end).alias("end")), cut_off)
-
-    return column(0, F.lit(1), [])
+    columns = [(c.type, c.descending) for c in spec.key]
+    names, missing = spec.key_names, [None] * len(spec.key)
+
+    @F.arrow_udf(", ".join(f"`{c.name}` {SPARK_TYPES[c.type]}" for c in spec.key))
+    def decode(keys: pa.Array) -> pa.Array:
+        return struct_array([unpack_bytes(k, columns) if k is not None else missing for k in keys.to_pylist()], names, [k for k, _ in columns])
+
+    return decode(packed)
 
 
 def format_key(values: Sequence[Column]) -> Column:

@@ -24,10 +24,6 @@ def escape_bytes(value: Column) -> Column:
     return F.encode(F.replace(F.decode(value, BYTEWISE), F.lit("\x00"), F.lit("\x00\xff")), BYTEWISE)
 
 
-def unescape_bytes(value: Column) -> Column:
-    return F.encode(F.replace(F.decode(value, BYTEWISE), F.lit("\x00\xff"), F.lit("\x00")), BYTEWISE)
-
-
 def unescape(value: bytes) -> bytes:
     return value.replace(b"\x00\xff", b"\x00")
 
@@ -110,38 +106,3 @@ def _float_udf(kind: str, sortable: bool):
 def float_hex(value: Column, double: bool, sortable: bool) -> Column:
     """No SQL function shows IEEE bits, so this is the one Arrow UDF of the encoders. NULL has to be dealt with outside."""
     return F.hex(_float_udf("f8" if double else "f4", sortable)(F.coalesce(value, F.lit(0.0).cast("double" if double else "float"))))
-
-
-def bits_number(digits: Column, width: int) -> Column:
-    """Big-endian bytes in hex as a signed integer of two's complement, bigint."""
-    if width == 8:
-        return F.conv(digits, 16, -10).cast("bigint")
-    n = F.conv(digits, 16, 10).cast("bigint")
-    return n - F.when(n >= 1 << (8 * width - 1), F.lit(1 << (8 * width))).otherwise(F.lit(0))
-
-
-def top_bit_turned(digits: Column) -> Column:
-    return F.concat(F.translate(F.substring(digits, 1, 1), "0123456789ABCDEF", "89ABCDEF01234567"), F.substring(digits, 2, 1 << 20))
-
-
-def bits_float(digits: Column, double: bool) -> Column:
-    """IEEE bits in hex as a number. Powers of two and whole numbers below 2 ** 53 make every value exactly."""
-    exponent_bits, mantissa_bits, bias = (11, 52, 1075) if double else (8, 23, 150)
-
-    def of(x: Column) -> Column:
-        top = (1 << exponent_bits) - 1
-        exponent = F.shiftright(x, mantissa_bits).bitwiseAND(top)
-        mantissa = x.bitwiseAND((1 << mantissa_bits) - 1)
-        whole = F.when(exponent == 0, mantissa).otherwise(mantissa + (1 << mantissa_bits)).cast("double")
-        size = whole * F.pow(F.lit(2.0), (F.greatest(exponent, F.lit(1)) - bias).cast("double"))
-        size = F.when(exponent < top, size).when(mantissa == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
-        return F.when(x < 0, -size).otherwise(size).cast("double" if double else "float")
-
-    return let(bits_number(digits, 8 if double else 4), of)
-
-
-def seconds_time(seconds: Column, instant: bool) -> Column:
-    """Whole seconds since 1970 as a timestamp, or as a time without zone."""
-    if instant:
-        return F.timestamp_seconds(seconds)
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))

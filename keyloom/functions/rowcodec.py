@@ -6,11 +6,12 @@ import struct
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keyloom.functions.keycodec import WIDTHS, epoch_seconds, uuid_text
-from keyloom.functions.primitives import bits_float, bits_number, fixed_hex, float_hex, let, read_varint, seconds_time, varint_hex
+from keyloom.functions.keycodec import WIDTHS, epoch_seconds, struct_array
+from keyloom.functions.primitives import fixed_hex, float_hex, read_varint, varint_hex
 from keyloom.schema import SPARK_TYPES, RowColumn
 
 FIXED = {"BOOLEAN": 1, **WIDTHS, "FLOAT": 4, "DOUBLE": 8, "LOCAL_DATE": 8, "LOCAL_DATE_TIME": 8, "INSTANT": 8, "UUID": 16}
@@ -83,54 +84,12 @@ def unpack_row_bytes(data: bytes, kinds: Sequence[str]) -> list:
     return out
 
 
-def _value(raw: Column, kind: str) -> Column:
-    if kind == "STRING":
-        return F.decode(raw, "UTF-8")
-    if kind == "BYTES":
-        return raw
-
-    def of(h: Column) -> Column:
-        if kind == "BOOLEAN":
-            return h != "00"
-        if kind in ("FLOAT", "DOUBLE"):
-            return bits_float(h, kind == "DOUBLE")
-        if kind == "UUID":
-            return uuid_text(h)
-        n = bits_number(h, FIXED[kind])
-        if kind in WIDTHS:
-            return n.cast(SPARK_TYPES[kind])
-        return F.date_from_unix_date(n.cast("int")) if kind == "LOCAL_DATE" else seconds_time(n, kind == "INSTANT")
-
-    return let(F.hex(raw), of)
-
-
 def unpack_row(columns: Sequence[RowColumn], packed: Column) -> Column:
-    """A struct of the columns of a packed row, all in the JVM; of a NULL row all are NULL."""
-    length = F.octet_length(packed)
-    byte = lambda at: F.conv(F.hex(F.substring(packed, at, F.lit(1))), 16, 10).cast("bigint")
-    inside = lambda end, value, kind: F.when(end > length, F.raise_error(F.lit("the bytes end inside a value")).cast(SPARK_TYPES[kind])).otherwise(value)
-
-    def column(i: int, at: Column, values: list[Column]) -> Column:
-        """at: where what column i has begins, from 1."""
-        if i == len(columns):
-            return F.struct(*[v.alias(c.name) for v, c in zip(values, columns, strict=True)])
-        kind = columns[i].type
-        null = packed.isNull() | (byte(F.lit(i // 8 + 1)).bitwiseAND(128 >> (i % 8)) != 0)
-        if kind in FIXED:
-            place = F.struct(at.alias("at"), F.when(null, 0).otherwise(FIXED[kind]).cast("bigint").alias("size"), null.alias("null"))
-        else:
-            groups = [byte(at + k) for k in range(5)]
-            size = F.lit(None).cast("bigint")
-            for k in reversed(range(5)):  # a varint ends with the first byte below 128
-                n = sum((F.shiftleft(g.bitwiseAND(127), 7 * j) for j, g in enumerate(groups[: k + 1])), F.lit(0).cast("bigint"))
-                size = F.when(groups[k] < 128, F.struct(F.lit(k + 1).alias("head"), n.alias("size"))).otherwise(size if k < 4 else F.raise_error(F.lit("varint too long")).cast("struct<head:int,size:bigint>"))
-            place = let(F.when(~null, size), lambda v: F.struct((at + F.coalesce(v["head"], F.lit(0))).alias("at"), F.coalesce(v["size"], F.lit(0).cast("bigint")).alias("size"), (null | v.isNull()).alias("null")))
-
-        def cut_off(x: Column) -> Column:
-            value = _value(F.substring(packed, x["at"].cast("int"), x["size"].cast("int")), kind)
-            value = F.when(x["null"], F.lit(None).cast(SPARK_TYPES[kind])).otherwise(inside(x["at"] + x["size"] - 1, value, kind))
-            return column(i + 1, (x["at"] + x["size"]).cast("int"), [*values, value])
+    """A struct of the columns of a packed row; of a NULL row all are NULL."""
+    kinds, names, missing = [c.type for c in columns], [c.name for c in columns], [None] * len(columns)
 
-        return let(place, cut_off)
+    @F.arrow_udf(", ".join(f"`{c.name}` {SPARK_TYPES[c.type]}" for c in columns))
+    def decode(rows: pa.Array) -> pa.Array:
+        return struct_array([unpack_row_bytes(r, kinds) if r is not None else missing for r in rows.to_pylist()], names, kinds)
 
-    return column(0, F.lit((len(columns) + 7) // 8 + 1), [])
+    return decode(packed)
