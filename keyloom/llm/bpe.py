@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import table
+from keyloom.llm.common import give_back, table
 
 # The letters and numbers of Unicode 17 that the tokenizers library, at Unicode 16, does not know as such.
 UNKNOWN = (
@@ -227,6 +227,11 @@ class Encoder:
         self.words = Words(self._word)
         self.after_space = Words(self._after_space)
 
+    def forget(self) -> None:
+        """Let go of the words and arcs met so far."""
+        self.words, self.after_space = Words(self._word), Words(self._after_space)
+        self.automaton.table.clear()
+
     def _word(self, word: str) -> bytes:
         if len(self.automaton.table) >= 2 * REMEMBERED:
             self.automaton.table.clear()
@@ -318,7 +323,9 @@ def _mapped(df: DataFrame, column: str, new: dict[str, tuple[T.DataType, pa.Data
                     arrays = [pa.array(c, kind) for c, (_, kind) in zip(zip(*out, strict=True), new.values(), strict=True)]
                     yield pa.RecordBatch.from_arrays([*[part.column(names.index(n)) for n in kept], *arrays], [*[f"c{i}" for i in range(len(kept))], *[f"n{i}" for i in range(len(new))]])
                     begin, size, out = i + 1, 0, []
-        pa.default_memory_pool().release_unused()  # workers wait for other tasks
+        for encoder in _by_digest.values():
+            encoder.forget()
+        give_back()
 
     # Spark takes the columns by name there, and some names cannot be said
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions.primitives import let
 from keyloom.plans.shared import cut, remove, shared_folder
 
-__all__ = ["GAP", "WORD", "attach", "cut", "kept_columns", "let", "quoted", "remove", "shared_folder", "table", "words"]
+__all__ = ["GAP", "WORD", "attach", "cut", "give_back", "kept_columns", "let", "quoted", "remove", "shared_folder", "table", "words"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Give free memory back to the system: a Python worker waits for other tasks, beside other workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

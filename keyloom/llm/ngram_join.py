@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import attach, cut, table
+from keyloom.llm.common import attach, cut, give_back, table
 from keyloom.llm.components import components
 from keyloom.llm.hashing import MULTIPLIERS, hashed_texts, mixed
 
@@ -91,6 +91,7 @@ def signature(s: np.ndarray) -> bytes:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray]]:
     for batch in batches:
         yield from zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True)
+    give_back()
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +320,10 @@ def _multiply(n_blocks: int, small_run: int):
             own = slice(at, at + long[at])
             members = name(node[own])
             parts.append(pd.DataFrame({"a": members, "b": members[0], "na": n[own], "nb": None, "place": place[own], "overlap": None, "run": hashlib.blake2b(b"".join(members), digest_size=16).digest(), "col": None}))
-        return pd.concat([x.astype(_KINDS) for x in parts])
+        out = pd.concat([x.astype(_KINDS) for x in parts])
+        del e, keys, by, new, node, sigs, size_of, n, place, code, most, codes, mosts, parts
+        give_back()
+        return out
 
     return run
 
