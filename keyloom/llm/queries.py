@@ -10,7 +10,7 @@ from keyloom.llm.mixing import OP3_SQL, op3_mix_sources
 from keyloom.llm.ngram_join import OP2_SQL, op2_ngram_join
 from keyloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from keyloom.llm.quality_cnn import op6_quality_cnn
-from keyloom.llm.secrets import op10_secret_scan
+from keyloom.llm.secrets import OP10_SQL, op10_secret_scan
 from keyloom.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
@@ -32,4 +32,5 @@ ORACLE_SQL = {
     "op3_mix_sources": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op10_secret_scan": OP10_SQL,
 }

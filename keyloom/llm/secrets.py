@@ -214,3 +214,60 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(written(F.filter("found", lambda x: x["kind"] != "entropy")), 256).alias("base_sha256"),
         written(F.col("found")).alias("spans"),
     )
+
+
+def _oracle() -> str:
+    """SQL for op10: the contract's own expressions, every window counted anew, runs merged by gaps and islands."""
+    either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    keys = "|".join([*map(either, ("password", "passwd", "secret", "token")), either("api") + "_?" + either("key")])
+    expressions = [f"""({keys})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "(AKIA[A-Z0-9]+)", "([0-9a-f]+)"]
+    groups, blanked = [2, 1, 1], "text"
+    for sample in SAMPLES:
+        blanked = f"regexp_replace({blanked}, '{either(sample)}', '{' ' * len(sample)}', 'g')"
+    found = lambda of, e, g, name, least: f"""
+{name} AS MATERIALIZED (
+  SELECT r, through - len(m) AS start, through AS "end", m FROM (
+    SELECT r, m, g, sum(len(p) + len(m)) OVER (PARTITION BY r ORDER BY i) AS through FROM (
+      SELECT r, unnest(ps[:len(ms)]) AS p, unnest(ms) AS m, unnest(gs) AS g, generate_subscripts(ms, 1) AS i FROM (
+        SELECT r, regexp_split_to_array({of}, '{e}') AS ps, regexp_extract_all({of}, '{e}', 0) AS ms, regexp_extract_all({of}, '{e}', {g}) AS gs FROM docs)))
+  WHERE len(g) >= {least})"""
+    base = [found("text", e, g, name, least) for e, g, (name, _, _, least) in zip(expressions, groups, KINDS, strict=True)]
+    has = lambda e: f"regexp_matches(m, '{e}')"
+    bits = {name: most_sum(b) for name, _, b in CLASSES}
+    limit = f"""CASE WHEN NOT {has('[A-Za-z]')} THEN {bits['digits']} WHEN NOT {has('[^0-9a-fA-F]')} THEN {bits['hex']}
+              WHEN NOT {has('[0-9]')} THEN {bits['letters']} WHEN {has('[a-z]')} AND {has('[A-Z]')} THEN {bits['mixed']}
+              WHEN {has('[a-z]')} THEN {bits['lower']} ELSE {bits['upper']} END"""
+    uuid = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+    sums = [_scaled(n) for n in range(WIDTH + 1)]
+    return f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),{','.join(base)},
+blanked AS MATERIALIZED (SELECT r, {blanked} AS blank FROM docs WHERE regexp_matches(text, '{CANDIDATE}')),{found('blank', f'({CANDIDATE})', 1, 'candidates', WIDTH).replace('FROM docs', 'FROM blanked')},
+suited AS MATERIALIZED (
+  SELECT r, start, m, {limit} AS most FROM candidates
+  WHERE NOT regexp_matches(m, '{uuid}')
+    AND NOT (contains(m, '/') AND len(list_filter(string_split(m, '/'), lambda x: NOT regexp_matches(x, '{PATH_PART}'))) = 0)),
+windows AS MATERIALIZED (
+  SELECT r, start AS of, start + i AS start, most, substr(m, i + 1, {WIDTH}) AS w FROM (
+    SELECT r, start, m, most, unnest(range(0, len(m) - {WIDTH - 1})) AS i FROM suited)),
+counting AS (
+  SELECT r, of, start FROM windows
+  WHERE list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: {sums}[len(w) - len(replace(w, c, '')) + 1])) <= most),
+islands AS (
+  SELECT r, of, start, sum(new) OVER (PARTITION BY r, of ORDER BY start) AS island FROM (
+    SELECT *, CASE WHEN start <= lag(start) OVER (PARTITION BY r, of ORDER BY start) + {WIDTH} THEN 0 ELSE 1 END AS new FROM counting)),
+spans AS (
+  SELECT r, 0 AS k, 'assign' AS kind, start, "end" FROM assign UNION ALL SELECT r, 1, 'access', start, "end" FROM access
+  UNION ALL SELECT r, 2, 'hex', start, "end" FROM hex
+  UNION ALL SELECT r, 3, 'entropy', min(start), max(start) + {WIDTH} FROM islands GROUP BY r, of, island),
+written AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(concat_ws(':', kind, start, "end"), ',' ORDER BY start, k, "end") FILTER (k < 3) AS base,
+         string_agg(concat_ws(':', kind, start, "end"), ',' ORDER BY start, k, "end") AS spans
+  FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN written USING (r)
+"""
+
+
+OP10_SQL = _oracle()
