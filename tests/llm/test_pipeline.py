@@ -6,14 +6,11 @@ from collections import Counter
 
 import pytest
 
-tokenizers = pytest.importorskip("tokenizers")
-pytest.importorskip("public_tokenizers")
+import corpus_pipeline
+from keyloom.llm import bpe, queries
 
-import corpus_pipeline  # noqa: E402
-from keyloom.llm import bpe, queries  # noqa: E402
-
-from .test_native import WORD, plain_statistics, plain_targets  # noqa: E402
-from .test_ngram_join import plain_components, plain_sets  # noqa: E402
+from .test_native import WORD, plain_statistics, plain_targets
+from .test_ngram_join import plain_components, plain_sets
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +27,8 @@ def texts(df):
 
 
 def test_stages(spark, folder, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    pytest.importorskip("public_tokenizers")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["quality", "exact", "near", "mixed", "tokens"]
     found = []
@@ -81,6 +80,7 @@ def test_stages(spark, folder, tmp_path):
 
 def test_stages_on_edges(spark, folder, tmp_path, clashing, nothing):
     """Clashing names, null ids, repeated rows, and no rows at all."""
+    pytest.importorskip("public_tokenizers")
     for name, docs in (("clashing", clashing), ("nothing", nothing)):
         for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
             out = stage(spark, docs, folder)
@@ -106,6 +106,8 @@ COLUMNS = {
 
 @pytest.mark.parametrize("name", list(COLUMNS))
 def test_queries(spark, folder, rows, name):
+    if name == "op7_bpe":
+        pytest.importorskip("public_tokenizers")
     df = queries.QUERIES[name](spark, folder)
     kinds = dict(df.dtypes)
     assert {c: kinds.get(c) for c in COLUMNS[name]} == COLUMNS[name]
