@@ -1,11 +1,13 @@
 """HTML extraction with a sparse suffix array for each host.
 
 Pages are cut into blocks of text; what the markup says outright is no article (menus, adverts, forms and the like) is left
-out, and what it only hints at is marked. The token streams of a host's pages are then concatenated and their suffixes
-sorted: those at the first and last place of each block, and those that a hash of their own tokens picks, about one in
-SPARSE. Equal neighbours are runs that repeat, and runs on RUN_PAGES distinct pages of the host count. A block that such runs
-cover is boilerplate if it is marked, if it stands outside an article, or if its runs stand outside an article on some page of
-the host; repeated text that has no such mark and that only articles have is quotation or syndication, and stays.
+out, and what it only hints at is marked. The token streams of a host's pages are then concatenated and looked at in two
+steps. Sorted first is a sparse array of anchors: of the ANCHOR_TOKENS tokens from each place of a run on, those with the least
+hash, so that every run has one, equal runs have equal ones, and neighbours mostly share theirs. A run can be on RUN_PAGES
+distinct pages of the host only if its anchor is; all runs of such anchors, from every place, are then sorted and counted
+themselves. A block that repeated runs cover is boilerplate if it is marked, if it stands outside an article, or if its runs
+stand outside an article on some page of the host; repeated text that has no such mark and that only articles have is
+quotation or syndication, and stays.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from keyloom.llm.hashing import MULTIPLIERS, hashed_texts, mixed
 
 #: A run has so many tokens (all of a shorter block) and counts on so many distinct pages; a block goes from this cover on.
 RUN_TOKENS, RUN_PAGES, COVER = 16, 3, 0.9
-#: Inside a block about one suffix in so many is sorted.
-SPARSE = 32
+#: Anchors have so many tokens: about one place in six begins one. This changes the work, not the result.
+ANCHOR_TOKENS = 6
 #: Hosts with more html are dealt into parts of about this size, whose runs are counted over the whole host by a shuffle.
 PART_BYTES = 4_000_000
 #: Up to so many such hosts, their numbers of parts are broadcast (some 10 MB); beyond, they are joined by a shuffle.
@@ -187,8 +189,36 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
 PAGE, OUTSIDE = np.uint32(0x7FFFFFFF), np.uint32(0x80000000)
 
 
+def _hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """The hash of so many tokens from each place on."""
+    n = max(len(words) - length + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for k in range(length):
+        h += words[k : k + n] * MULTIPLIERS[k]
+    return mixed(h + np.uint64(length))
+
+
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of every n neighbours."""
+    width = 1
+    while width < n:
+        step = min(width, n - width)
+        x = np.minimum(x[:-step], x[step:])
+        width += step
+    return x
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each x is among the sorted known ones, and where it is, or would be."""
+    at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
+    return known[at] == x if len(known) else np.zeros(len(x), bool), at
+
+
 class Suffixes:
-    """The sampled suffixes of the blocks of some pages: each one's run (64 bits of its first tokens), block and place in it."""
+    """The suffixes of the blocks of some pages: each one's run (64 bits of its first tokens), its anchor, block and place in it.
+
+    Of a block's suffixes, all that have a whole run; the whole of a shorter block is its run and anchor.
+    """
 
     def __init__(self, pages: list[tuple[list[str], bytes]]) -> None:
         """pages: the blocks of each, and a byte for each block: 1 in an article, 2 hinted at."""
@@ -203,45 +233,47 @@ class Suffixes:
             lengths.append(np.diff(bounds))
         words, lengths = np.concatenate(words), np.concatenate(lengths)
         begins = np.cumsum(lengths) - lengths
-        runs, block, place = [], [], []
-        long = np.flatnonzero(lengths > RUN_TOKENS)
-        if len(long):
-            n = len(words) - RUN_TOKENS + 1
-            h = np.zeros(n, np.uint64)
-            for k in range(RUN_TOKENS):
-                h += words[k : k + n] * MULTIPLIERS[k]
-            h = mixed(h + np.uint64(RUN_TOKENS))
-            chosen = h % np.uint64(SPARSE) == 0
-            owner = np.repeat(np.arange(len(lengths)), lengths)[:n]
-            last = begins + lengths - RUN_TOKENS
-            chosen &= np.arange(n) <= last[owner]  # runs end in their block
-            chosen[begins[long]] = chosen[last[long]] = True
-            at = np.flatnonzero(chosen)
-            runs.append(h[at])
-            block.append(owner[at])
-            place.append(at - begins[owner[at]])
-        for length in range(1, RUN_TOKENS + 1):
+        runs, anchors, block, place = [], [], [], []
+        if (lengths >= RUN_TOKENS).any():
+            h = _hashes(words, RUN_TOKENS)
+            owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[: len(h)]
+            at = (np.arange(len(h)) - begins[owner]).astype(np.int32)
+            inside = at <= (lengths - RUN_TOKENS)[owner]  # runs end in their block
+            runs.append(h[inside])
+            anchors.append(_least(_hashes(words, ANCHOR_TOKENS), RUN_TOKENS - ANCHOR_TOKENS + 1)[inside])
+            block.append(owner[inside])
+            place.append(at[inside])
+        for length in range(1, RUN_TOKENS):
             some = np.flatnonzero(lengths == length)
             if len(some):
                 h = np.zeros(len(some), np.uint64)
                 for k in range(length):
                     h += words[begins[some] + k] * MULTIPLIERS[k]
                 runs.append(mixed(h + np.uint64(length)))
-                block.append(some)
-                place.append(np.zeros(len(some), np.int64))
+                anchors.append(runs[-1])
+                block.append(some.astype(np.int32))
+                place.append(np.zeros(len(some), np.int32))
         self.run = np.concatenate([np.zeros(0, np.uint64), *runs])
-        self.block = np.concatenate([np.zeros(0, np.int64), *block])
-        self.place = np.concatenate([np.zeros(0, np.int64), *place])
-
-    def repeats(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of the sorted suffixes: each run with up to RUN_PAGES of its pages, OUTSIDE if it stands outside an article."""
-        pages = self.digest[self.page[self.block]] | np.where(self.flags[self.block] & 1, np.uint32(0), OUTSIDE)
-        return _least_pages(self.run, pages)
+        self.anchor = np.concatenate([np.zeros(0, np.uint64), *anchors])
+        self.block = np.concatenate([np.zeros(0, np.int32), *block])
+        self.place = np.concatenate([np.zeros(0, np.int32), *place])
+
+    def sparse(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the sorted anchors: each with up to RUN_PAGES of its pages."""
+        new = np.ones(len(self.anchor), bool)
+        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.block[1:] != self.block[:-1])
+        return _least_pages(self.anchor[new], self.digest[self.page[self.block[new]]])
+
+    def repeats(self, anchors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of the sorted suffixes whose anchors (sorted) repeat on the host, by default on these pages: each run with up to
+        RUN_PAGES of its pages, OUTSIDE if it stands outside an article."""
+        some, _ = _among(self.anchor, _repeated(*self.sparse())[0] if anchors is None else anchors)
+        block = self.block[some]
+        return _least_pages(self.run[some], self.digest[self.page[block]] | np.where(self.flags[block] & 1, np.uint32(0), OUTSIDE))
 
     def kept(self, runs: np.ndarray, outside: np.ndarray) -> np.ndarray:
         """For each block whether it stays. runs (sorted) repeat on the host, those of outside also outside an article."""
-        at = np.minimum(np.searchsorted(runs, self.run), max(len(runs) - 1, 0))
-        told = runs[at] == self.run if len(runs) else np.zeros(len(self.run), bool)
+        told, at = _among(self.run, runs)
         count = lambda which: np.bincount(self.block[which], minlength=len(self.flags))
         least = COVER * count(np.ones(len(self.run), bool))
         covered = count(told) >= least
@@ -309,18 +341,29 @@ def _whole_host(group: pd.DataFrame) -> pd.DataFrame:
     return _written(group, suffixes, *_repeated(*suffixes.repeats()))
 
 
-def _seen(group: pd.DataFrame) -> pd.DataFrame:
-    """The runs of a part with up to RUN_PAGES of its pages that have them, by bucket of runs: a few parts' worth each."""
-    run, page = _suffixes(group).repeats()
-    bucket = (run % np.uint64(max(int(group["parts"].iloc[0]) // 16, 1))).astype(np.int64)
+def _dealt(group: pd.DataFrame, run: np.ndarray, page: np.ndarray) -> pd.DataFrame:
+    """A part's runs or anchors and their pages, by bucket: a few parts' worth each."""
+    if not len(group):
+        return pd.DataFrame({"host": [], "bucket": [], "part": [], "runs": [], "pages": []})
+    bucket = (run % np.uint64(max(int(group["parts"].iloc[0]) // 4, 1))).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     first = np.flatnonzero(np.diff(bucket[by], prepend=-1))
     pack = lambda x: [p.tobytes() for p in np.split(x[by], first[1:])][: len(first)]
     return pd.DataFrame({"host": group["host"].iloc[0], "bucket": bucket[by][first], "part": group["part"].iloc[0], "runs": pack(run), "pages": pack(page)})
 
 
+def _anchors(group: pd.DataFrame) -> pd.DataFrame:
+    """The anchors of a part with up to RUN_PAGES of its pages that have them."""
+    return _dealt(group, *_suffixes(group).sparse())
+
+
+def _seen(group: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    """The runs of a part whose anchors repeat on the host, with up to RUN_PAGES of its pages that have them."""
+    return _dealt(group, *_suffixes(group).repeats(_joined(told)[0]))
+
+
 def _told(group: pd.DataFrame) -> pd.DataFrame:
-    """The runs of a bucket that RUN_PAGES pages of the host have, for each part that has them."""
+    """The runs, or anchors, of a bucket that RUN_PAGES pages of the host have, for each part that has them."""
     seen = [np.frombuffer(x, "<u8") for x in group["runs"]]
     runs, outside = _repeated(*_least_pages(np.concatenate(seen), np.concatenate([np.frombuffer(x, "<u4") for x in group["pages"]])))
     out = []
@@ -331,13 +374,18 @@ def _told(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["host", "part", "runs", "outside"])
 
 
-def _part_of_host(group: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-    if not len(group):
-        return pd.DataFrame({"page_id": pd.array([], "Int64"), "url": [], "text": [], "repeated_blocks": []})
+def _joined(told: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """What the buckets tell a part, sorted by run."""
     runs = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, "<u8") for x in told["runs"])])
     outside = np.concatenate([np.zeros(0, bool), *(np.frombuffer(x, bool) for x in told["outside"])])
     by = np.argsort(runs)
-    return _written(group, _suffixes(group), runs[by], outside[by])
+    return runs[by], outside[by]
+
+
+def _part_of_host(group: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    if not len(group):
+        return pd.DataFrame({"page_id": pd.array([], "Int64"), "url": [], "text": [], "repeated_blocks": []})
+    return _written(group, _suffixes(group), *_joined(told))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", part_bytes: int = PART_BYTES, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
@@ -360,8 +408,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     parsed = lambda of: of.select("page_id", "url", "host", part.alias("part"), "parts", "html").mapInArrow(_parsed, "page_id long, url string, host string, part long, parts long, body string, flags binary")
     kind = "page_id long, url string, text string, repeated_blocks long"
     whole, parts = parsed(dealt.filter("parts is null")), parsed(dealt.filter("parts is not null"))
-    told = parts.groupBy("host", "part").applyInPandas(_seen, "host string, bucket long, part long, runs binary, pages binary").groupBy("host", "bucket").applyInPandas(_told, "host string, part long, runs binary, outside binary")
-    from_parts = parts.groupBy("host", "part").cogroup(told.groupBy("host", "part")).applyInPandas(_part_of_host, kind)
+    dealt_kind = "host string, bucket long, part long, runs binary, pages binary"
+    told = lambda of: of.groupBy("host", "bucket").applyInPandas(_told, "host string, part long, runs binary, outside binary").groupBy("host", "part")
+    of_host = parts.groupBy("host", "part")
+    anchors = told(of_host.applyInPandas(_anchors, dealt_kind))
+    runs = told(of_host.cogroup(anchors).applyInPandas(_seen, dealt_kind))
+    from_parts = of_host.cogroup(runs).applyInPandas(_part_of_host, kind)
     return whole.groupBy("host").applyInPandas(_whole_host, kind).unionByName(from_parts)
 
 

@@ -162,6 +162,37 @@ def test_parts_of_a_host_give_what_the_whole_host_gives(spark, broadcast_hosts):
     assert found(8_000) == whole
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 40, 500])
+def test_every_place_of_a_block_counts(spark, part_bytes):
+    """Own words between a shared beginning and a shared end stay; boilerplate goes though each page's begins with its own word."""
+    rng = random.Random(18)
+    text = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    begin, end, notice = text(16), text(16), text(100)
+    own = [f"{begin} {text(8)} {end}\n{text(40)}" for _ in range(6)]
+    rows = [(i, "http://site.example/p", "<body><p>" + t.replace("\n", "<p>") + f"<p>Hello{i} {notice}") for i, t in enumerate(own)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: (r["text"], r["repeated_blocks"]) for r in html_text.extract_text(df, part_bytes=part_bytes).collect()} == {i: (t, 1) for i, t in enumerate(own)}
+
+
+def test_runs_from_every_place_and_their_anchors():
+    """Every run is there, repeats are those of a plain search over all of them, and none of them has an anchor that repeats less."""
+    rng = random.Random(19)
+    for words in (10_000, 40, 3):
+        pages = some_pages(rng, 60, words)
+        s = html_text.Suffixes(pages)
+        blocks = [b.split(" ") for texts, _ in pages for b in texts]
+        places = {k: set(range(max(len(w) - html_text.RUN_TOKENS, 0) + 1)) for k, w in enumerate(blocks)}
+        assert sorted(zip(s.block.tolist(), s.place.tolist(), strict=True)) == [(k, i) for k in places for i in sorted(places[k])]
+        often, outside = plain_repeats(pages, places)
+        runs, loose = html_text._repeated(*s.repeats())
+        assert (len(runs), loose.sum()) == (len(often), len(outside))
+        of = defaultdict(set)
+        for k, i, anchor in zip(s.block.tolist(), s.place.tolist(), s.anchor.tolist(), strict=True):
+            of[tuple(blocks[k][i : i + html_text.RUN_TOKENS])].add(anchor)
+        assert all(len(a) == 1 for a in of.values())
+        assert words < 10_000 or len(s.sparse()[0]) < len(s.run) / 3
+
+
 def test_html_edges(spark):
     schema = "page_id long, url string, html string, host string, part int, parts int, blocks int, body string, text string"
     rows = [(1, None, "<p>a", "h", 1, 1, 1, "b", "t"), (1, None, "<p>a", "h", 1, 1, 1, "b", "t"), (None, "x", "<article>" + "word " * 100_000, None, None, None, None, None, None)]
